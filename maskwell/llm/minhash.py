@@ -22,10 +22,11 @@ WORDS, SIMILARITY = 5, 75
 #: probability (1 - 0.75**4)**32 = 5e-6.
 PLACES, BANDS, ROWS = 128, 32, 4
 #: A pair whose sketches (one byte of each signature value) agree in fewer places is no link: at 0.75 the count has
-#: mean 96 and deviation under 5, so 64 lies more than 6 deviations below.
-SKETCH_LEAST = 64
-#: How many members of a group of candidates are compared with all others in each of the later rounds.
-PIVOTS = 8
+#: mean 96 and deviation under 5, so 72 lies 5 deviations below.
+SKETCH_LEAST = 72
+#: Groups of candidates up to this size are compared in full; of larger ones what is unresolved is regrouped by rare
+#: shingles. How many members of a group are compared with all others in a round.
+SMALL, PIVOTS = 8, 8
 #: Ids of candidates that are broadcast to fetch their texts without a shuffle of all texts.
 IDS = 1_000_000
 
@@ -122,13 +123,116 @@ def _sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+class _Search:
+    """The representatives, and the component of each so far."""
+
+    def __init__(self, reps: DataFrame, docs: DataFrame):
+        self.reps, self.docs = reps, docs
+        self.labels = table(reps.select("rep", F.col("rep").alias("component")), "labels")
+
+    def compare(self, pairs: DataFrame, name: str) -> bool:
+        """Unites the components of those pairs (a, b) that are links. Are there any?"""
+        links = _verified(_sketch_filter(pairs, self.reps), self.docs, name)
+        found = not links.isEmpty()
+        if found:
+            ends = links
+            for end in ("a", "b"):
+                at = self.labels.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}"))
+                ends = ends.join(at, end)
+            roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            moved = self.labels.join(roots.withColumnRenamed("component", "root"), F.col("component") == F.col("id"), "left")
+            labels = table(moved.select("rep", F.coalesce("root", "component").alias("component")), "labels")
+            drop_tables(self.labels, roots)
+            self.labels = labels
+        drop_tables(links)
+        return found
+
+    def labelled(self, groups: DataFrame) -> DataFrame:
+        """groups with the components of each member and of its group's first one."""
+        first = self.labels.select(F.col("rep").alias("first"), F.col("component").alias("first_component"))
+        return groups.join(self.labels, "rep").join(first, "first")
+
+    def resolve(self, groups: DataFrame, largest: int | None) -> DataFrame:
+        """Compares members of each group (key, rep, first, n) until no two that differ in component are uncompared.
+
+        First each representative with one group's first member, then with the first of each group in another
+        component. Then, in groups of at most `largest` members, those outside the first's component in ascending
+        order with all members of other components. Gives the larger groups that have such members, with all members.
+        """
+        pairs = groups.filter("rep <> first").groupBy(F.col("rep").alias("a")).agg(F.min("first").alias("b"))
+        self.compare(pairs, "nearest")
+        apart = self.labelled(groups).filter("component <> first_component")
+        self.compare(apart.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "firsts")
+
+        last, width = None, PIVOTS
+        many = groups.filter("n > 2")
+        unresolved = None
+        while True:
+            at = self.labelled(many)
+            rest = at.filter("component <> first_component")
+            if unresolved is None and largest is not None:
+                open_groups = rest.filter(F.col("n") > largest).select("key").distinct()
+                unresolved = table(many.join(open_groups, "key", "left_semi").select("key", "rep"), "unresolved")
+                many = many.filter(F.col("n") <= largest)
+                continue
+            if last is not None:  # in ascending order, so whoever is left up to `last` has had its turn
+                rest = rest.join(last, "key", "left").filter("last IS NULL OR rep > last")
+            order = Window.partitionBy("key").orderBy("rep")
+            pivots = rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width)
+            pivots = table(pivots.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")), "pivots")
+            if pivots.isEmpty():
+                drop_tables(pivots)
+                return unresolved
+            others = at.join(pivots, "key").filter("component <> cb and rep <> first")
+            self.compare(others.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pivots")
+            used = pivots.groupBy("key").agg(F.max("b").alias("last"))
+            if last is not None:
+                used = used.unionByName(last).groupBy("key").agg(F.max("last").alias("last"))
+            last, width = table(used, "last"), width * 4
+            drop_tables(pivots)
+
+
+def _grouped(members: DataFrame, name: str) -> DataFrame:
+    """(key, rep, first, n) of the keys that several representatives have, as a table. members: key, rep."""
+    shared = members.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    shared = table(shared, f"{name}-keys")  # so that the join has two shuffles, of which Spark can split a hot one
+    groups = table(members.join(shared, "key").select("key", "rep", "first", "n"), name)
+    drop_tables(shared)
+    return groups
+
+
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """(key, rep): the rarest shingles of each text, so many that two texts at the similarity share one of them.
+
+    Of n shingles the n - ceil(0.75 n) + 1 rarest, in one order for all: by how many of these texts have them, then by
+    hash. texts: doc_id, text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            found = [shingles(t) for t in part.column(1).to_pylist()]
+            rep = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+            size = np.repeat([len(f) for f in found], [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rep), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)), pa.array(size, pa.int64())], ["rep", "key", "size"]
+            )
+
+    every = table(texts.select("doc_id", "text").mapInArrow(run, "rep long, key long, size long"), "shingles")
+    common = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # shingles of one text alone are rarest and group nothing: they only take places of the text's prefix
+    known = every.join(table(common, "common"), "key")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "key")) + F.col("size") - F.count("*").over(Window.partitionBy("rep"))
+    prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY / 100) + 1
+    return known.withColumn("place", place).filter(F.col("place") <= prefix).select("key", "rep")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (is it that one).
 
     Documents with one shingle set are a class, represented by its smallest doc_id. Representatives that share a band
-    are candidates; in each such group all are compared with the smallest member, and then, in rounds, those that
-    aren't yet in its component are compared with all members of other components, so no pair of candidates in
-    different components is left uncompared and no group expands into all pairs.
+    are candidates; see _Search.resolve for how groups of them are compared without expanding into pairs. Members of
+    large groups that stay unresolved (many texts that are alike, but too little) are regrouped by their rarest
+    shingles, of which every two linked texts share one, and those groups are resolved to the end.
     Null, empty and wordless texts: no shingles, linked with nothing. Rows that repeat a doc_id share its links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -138,43 +242,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         some.groupBy("k1", "k2").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("rep", "k1", "k2", "s.*"),
         "reps",
     )
-    cells = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = cells.groupBy("band", "hash").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = table(shared, "shared")  # so that the join below has two shuffles, of which Spark can split a hot one
-    #: groups: the members of every (band, hash) that more than one representative has
-    groups = table(cells.join(shared, ["band", "hash"]).select("band", "hash", "rep", "first", "n"), "groups")
-    pairs = groups.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    links = _verified(_sketch_filter(pairs, reps), docs, "first")
-    labels = components(links)
-    last, width = None, PIVOTS
-    while True:
-        # who is not in the component of its group's first member has yet to be compared with the rest of the group
-        known = labels.select(F.col("id").alias("rep"), "component")
-        at = groups.filter("n > 2").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        first = known.select(F.col("rep").alias("first"), F.col("component").alias("first_component"))
-        at = at.join(first, "first", "left").withColumn("first_component", F.coalesce("first_component", "first"))
-        at = table(at, "at")
-        rest = at.filter("component <> first_component")
-        if last is not None:  # in ascending order, so whoever is left up to `last` has had its turn
-            rest = rest.join(last, ["band", "hash"], "left").filter("last IS NULL OR rep > last")
-        order = Window.partitionBy("band", "hash").orderBy("rep")
-        pivots = rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width)
-        pivots = table(pivots.select("band", "hash", F.col("rep").alias("b"), F.col("component").alias("cb")), "pivots")
-        if pivots.isEmpty():
-            drop_tables(at, pivots)
-            break
-        others = at.join(pivots, ["band", "hash"]).filter("component <> cb and rep <> first")
-        pairs = others.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        more = _verified(_sketch_filter(pairs, reps), docs, "more")
-        used = pivots.groupBy("band", "hash").agg(F.max("b").alias("last"))
-        if last is not None:
-            used = used.unionByName(last).groupBy("band", "hash").agg(F.max("last").alias("last"))
-        last, width = table(used, "last"), width * 4
-        if not more.isEmpty():
-            links = table(links.unionByName(more), "links")
-            labels = components(links)
-        drop_tables(at, pivots, more)
-    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    search = _Search(reps, docs)
+    # a band's hash has its number mixed in, so it is the key alone
+    groups = _grouped(reps.select("rep", F.explode("bands").alias("key")), "groups")
+    rest = search.resolve(groups, SMALL).select(F.col("rep").alias("doc_id")).distinct()
+    rest = table(rest, "rest")
+    if not rest.isEmpty():
+        texts = docs.join(checked_broadcast(rest, limit=IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        search.resolve(_grouped(_rare_shingles(texts), "rare"), None)
+    named = reps.join(search.labels, "rep").select("k1", "k2", F.col("component").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select(
         "doc_id",

@@ -9,6 +9,7 @@ windows whose estimate is two or more go to an exact grouping on 96 bits of hash
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from hashlib import sha256
 from zlib import crc32
@@ -25,8 +26,8 @@ WINDOW, ANCHOR = 35, 8
 #: all: that is what is broadcast, at any size of input. With more anchors than cells more windows go to the exact
 #: grouping, up to all; results stay the same.
 ROWS_OF_CELLS, CELL_BITS, SLICE_BITS = 2, 26, 20
-#: Windows that a task holds before it groups and emits them, and texts of words in one piece of work.
-HELD = 1_000_000
+#: Windows or anchors that a task holds before it groups and emits them; windows of the input for each range of hashes.
+HELD, WINDOWS_PER_BUCKET = 700_000, 3_000_000
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +75,10 @@ def _sketch_batches(window: int, anchor: int):
         cells, counts = np.unique(_cells(np.concatenate(held)).ravel(), return_counts=True)
         cuts = np.flatnonzero(np.diff(cells >> SLICE_BITS)) + 1
         rows = [
-            (int(c[0] >> SLICE_BITS), (c & ((1 << SLICE_BITS) - 1)).astype(np.uint32).tobytes(), (n > 1).tobytes())
+            (int(c[0] >> SLICE_BITS), (c & ((1 << SLICE_BITS) - 1)).astype(np.uint32).tobytes(), (n > 1).tobytes(), int(n.sum()))
             for c, n in zip(np.split(cells, cuts), np.split(counts, cuts), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "cells", "twice"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["slice", "cells", "twice", "hits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -103,31 +104,34 @@ def _merge_slice(final: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLICE_BITS, np.uint8)
-        number = None
+        number, hits = None, 0
         for batch in batches:
-            for number, cells, twice in zip(*(batch.column(c).to_pylist() for c in ("slice", "cells", "twice")), strict=True):
+            for number, cells, twice, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "cells", "twice", "hits")), strict=True):
                 at = np.frombuffer(cells, np.uint32)
+                hits += n
                 counts[at] = np.minimum(counts[at] + 1 + np.frombuffer(twice, np.bool_), 2)
         if final:
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], ["slice", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary()), pa.array([hits], pa.int64())], ["slice", "bits", "hits"])
         else:
             at = np.flatnonzero(counts).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([(counts[at] > 1).tobytes()], pa.binary())], ["slice", "cells", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([(counts[at] > 1).tobytes()], pa.binary()), pa.array([hits], pa.int64())], ["slice", "cells", "twice", "hits"])
 
     return run
 
 
-def _sketch(texts: DataFrame, window: int, anchor: int) -> np.ndarray:
-    """The merged sketch, one bit for each cell; its size is fixed whatever the input."""
-    parts = texts.mapInArrow(_sketch_batches(window, anchor), "slice int, cells binary, twice binary")
+def _sketch(texts: DataFrame, window: int, anchor: int) -> tuple[np.ndarray, int]:
+    """The merged sketch, one bit for each cell, and about how many windows there are; a fixed size for any input."""
+    parts = texts.mapInArrow(_sketch_batches(window, anchor), "slice int, cells binary, twice binary, hits long")
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = salted.groupBy("slice", "salt").applyInArrow(_merge_slice(False), "slice int, cells binary, twice binary")
-    merged = some.groupBy("slice").applyInArrow(_merge_slice(True), "slice int, bits binary")
+    some = salted.groupBy("slice", "salt").applyInArrow(_merge_slice(False), "slice int, cells binary, twice binary, hits long")
+    merged = some.groupBy("slice").applyInArrow(_merge_slice(True), "slice int, bits binary, hits long")
     bits = np.zeros((ROWS_OF_CELLS << CELL_BITS) // 8, np.uint8)
     width = (1 << SLICE_BITS) // 8
+    hits = 0
     for row in merged.toLocalIterator():  # at most ROWS_OF_CELLS << (CELL_BITS - SLICE_BITS) rows
         bits[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return bits
+        hits += row["hits"]
+    return bits, hits // ROWS_OF_CELLS * (window - anchor + 2) // 2
 
 
 def _estimated_twice(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -135,39 +139,50 @@ def _estimated_twice(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _candidates(window: int, anchor: int, sketch):
-    """Windows estimated repeated, each once a task: hash, check, n (2: more than once here), and where if once.
+def _pack(hashes: np.ndarray, checks: np.ndarray, doc: np.ndarray, places: np.ndarray) -> bytes:
+    """Windows in order of hash; their columns byte by byte, which compresses what sorted hashes have in common."""
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (hashes, checks, doc, places))
 
-    Those found more than once in the task are known to repeat; their places go out as rows without a hash.
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    n = len(raw) // 20
+    out, at = [], 0
+    for kind in (np.uint64, np.uint32, np.uint32, np.uint32):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+#: In place of a text's number: the window is in several texts of the task, none of which waits for an answer.
+_SEVERAL = 0xFFFFFFFF
+
+
+def _candidates(window: int, anchor: int, sketch, buckets: int):
+    """Windows estimated repeated, each once a task and packed by range of hash, with the texts that they are from.
+
+    Those found more than once in the task are known to repeat; their places go out at once, in bucket -1.
     """
 
-    def emit(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-        hashes, checks, places = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+    def emit(held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[2]) for h in held])
+        hashes, checks, places = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
         order = np.lexsort((checks, hashes))
         doc, hashes, checks, places = doc[order], hashes[order], checks[order], places[order]
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])])
         once = new & np.concatenate([new[1:], [True]])
-        first = np.flatnonzero(new)
-        alone = once[first]
-        nothing = ~alone
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes[first].view(np.int64)),
-                pa.array(checks[first].view(np.int32)),
-                pa.array(np.where(alone, 1, 2).astype(np.int32)),
-                pa.array(doc[first], mask=nothing),
-                pa.array(places[first], mask=nothing),
-            ],
-            ["hash", "check", "n", "doc", "place"],
-        )
-        known = ~once
-        if known.any():
-            none = pa.nulls(int(known.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(doc[known]), pa.array(places[known])],
-                ["hash", "check", "n", "doc", "place"],
+        rows = _places_by_doc(doc[~once], places[~once], [h[0] for h in held], [h[1] for h in held])
+        out = np.flatnonzero(new)
+        hashes, checks, places, doc = hashes[out], checks[out], places[out], np.where(once[out], doc[out], np.uint32(_SEVERAL))
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part, number = doc[lo:hi].copy(), doc[lo:hi] != _SEVERAL
+            named, part[number] = np.unique(part[number], return_inverse=True)
+            rows.append(
+                (int(bucket[lo]), None, None, [held[i][0] for i in named.tolist()], [held[i][1] for i in named.tolist()], _pack(hashes[lo:hi], checks[lo:hi], part, places[lo:hi]))
             )
+        yield _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, size = sketch.value, [], 0
@@ -182,8 +197,8 @@ def _candidates(window: int, anchor: int, sketch):
                 if flags.any():
                     places = np.flatnonzero(flags)
                     check = (mix(rolling(hashes, window, 1)[places], 5) >> np.uint64(32)).astype(np.uint32)
-                    tag = np.int64(crc32(text.encode()) << 31)  # tells apart texts that share a doc_id
-                    held.append((key, mix(rolling(hashes, window)[places], 3), check, places | tag))
+                    # the tag tells apart texts that share a doc_id
+                    held.append((key, crc32(text.encode()), mix(rolling(hashes, window)[places], 3), check, places.astype(np.uint32)))
                     size += len(places)
             if size > HELD:
                 yield from emit(held)
@@ -194,6 +209,48 @@ def _candidates(window: int, anchor: int, sketch):
     return run
 
 
+_PACKED = "bucket int, row long, tag long, rows array<long>, tags array<long>, data binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    cols = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "row", "tag", "rows", "tags", "data"])
+
+
+def _places_by_doc(doc: np.ndarray, places: np.ndarray, rows: list[int], tags: list[int]) -> list[tuple]:
+    """A row of bucket -1 for each text with places: its id, its tag and the places as packed uint32."""
+    if not len(doc):
+        return []
+    order = np.argsort(doc, kind="stable")
+    doc, places = doc[order], places[order]
+    cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+    return [(-1, rows[doc[lo]], tags[doc[lo]], None, None, places[lo:hi].tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _group_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact grouping of one range of hashes: rows of bucket -1 for texts with windows that others have too."""
+    rows: list[int] = []
+    tags: list[int] = []
+    packed = []
+    for batch in batches:
+        for names, marks, data in zip(*(batch.column(c).to_pylist() for c in ("rows", "tags", "data")), strict=True):
+            hashes, checks, doc, places = _unpack(data)
+            packed.append((hashes, checks, np.where(doc == _SEVERAL, doc, doc + np.uint32(len(rows))), places))
+            rows += names
+            tags += marks
+    hashes, checks, doc, places = (np.concatenate([p[i] for p in packed]) for i in range(4))
+    packed.clear()
+    order = np.lexsort((checks, hashes))
+    hashes, checks = hashes[order], checks[order]
+    same = (hashes[1:] == hashes[:-1]) & (checks[1:] == checks[:-1])
+    doc = doc[order]
+    asks = doc != _SEVERAL
+    # a window repeats if a neighbour in order is the same one, from another task
+    twice = (np.append(same, False) | np.append(False, same)) & asks
+    yield _rows(_places_by_doc(doc[twice], places[order][twice], rows, tags))
+
+
 def _cut_batches(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -205,7 +262,7 @@ def _cut_batches(window: int, with_text: bool):
                 removed = 0
                 if places:
                     starts = np.zeros(n, np.bool_)
-                    starts[np.array(places)] = True
+                    starts[np.concatenate([np.frombuffer(p, np.uint32) for p in places])] = True
                     gone = covered(starts, window, n)
                     removed = int(gone.sum())
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -220,16 +277,23 @@ def _cut_batches(window: int, with_text: bool):
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(_row, _tag, places): where windows start that also start elsewhere. rows: _row, _tag (see tagged()), text."""
-    sketch = rows.sparkSession.sparkContext.broadcast(_sketch(rows.select("text"), window, anchor))
-    found = rows.select("_row", "text").mapInArrow(_candidates(window, anchor, sketch), "hash long, check int, n int, doc long, place long")
-    # A task sends each window once, so a window has as many rows as tasks at most, however many texts share it.
-    same = Window.partitionBy(F.coalesce("hash", F.xxhash64("doc", "place")), F.coalesce("check", F.lit(0)))
-    total = F.sum(F.coalesce("n", F.lit(2))).over(same)
-    twice = found.withColumn("total", total).filter("total > 1 AND doc IS NOT NULL").select(
-        F.col("doc").alias("_row"), F.shiftright("place", 31).alias("_tag"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place")
-    )
-    return twice.groupBy("_row", "_tag").agg(F.collect_list("place").alias("places"))
+    """(_row, _tag, places): where windows start that also start elsewhere, in packed parts. rows: see tagged()."""
+    bits, windows = _sketch(rows.select("text"), window, anchor)
+    sketch = rows.sparkSession.sparkContext.broadcast(bits)
+    buckets = max(48, windows // WINDOWS_PER_BUCKET)
+    found = rows.select("_row", "text").mapInArrow(_candidates(window, anchor, sketch, buckets), _PACKED)
+    # Each task sends a window once, so a window has as many entries as tasks at most, however many texts share it.
+    # The local answers travel in groups of their own, spread by text.
+    spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("row"), F.lit(buckets))).otherwise(F.col("bucket"))
+    answers = found.withColumn("bucket", spread.cast("int")).groupBy("bucket").applyInArrow(_answer, _PACKED)
+    return answers.groupBy(F.col("row").alias("_row"), F.col("tag").alias("_tag")).agg(F.collect_list("data").alias("places"))
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for first in batches:
+        if first.num_rows:
+            rest = itertools.chain([first], batches)
+            yield from rest if first.column(0)[0].as_py() < 0 else _group_bucket(rest)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
