@@ -24,9 +24,9 @@ PLACES, BANDS, ROWS = 128, 32, 4
 #: A pair whose sketches (one byte of each signature value) agree in fewer places is no link: at 0.75 the count has
 #: mean 96 and deviation under 5, so 72 lies 5 deviations below.
 SKETCH_LEAST = 72
-#: Groups of candidates up to this size are compared in full; of larger ones what is unresolved is regrouped by rare
-#: shingles. How many members of a group are compared with all others in a round.
-SMALL, PIVOTS = 8, 8
+#: Groups of candidates up to this size are compared in pairs; of larger ones what is unresolved is regrouped by rare
+#: shingles and compared in blocks of so many members.
+SMALL, BLOCK = 8, 1024
 #: Ids of candidates that are broadcast to fetch their texts without a shuffle of all texts.
 IDS = 1_000_000
 
@@ -152,44 +152,88 @@ class _Search:
         first = self.labels.select(F.col("rep").alias("first"), F.col("component").alias("first_component"))
         return groups.join(self.labels, "rep").join(first, "first")
 
-    def resolve(self, groups: DataFrame, largest: int | None) -> DataFrame:
-        """Compares members of each group (key, rep, first, n) until no two that differ in component are uncompared.
+    def firsts(self, groups: DataFrame) -> None:
+        """Compares members of each group (key, rep, first, n) with its first one.
 
-        First each representative with one group's first member, then with the first of each group in another
-        component. Then, in groups of at most `largest` members, those outside the first's component in ascending
-        order with all members of other components. Gives the larger groups that have such members, with all members.
+        First each representative with the first member of one group, then of each group in another component.
         """
         pairs = groups.filter("rep <> first").groupBy(F.col("rep").alias("a")).agg(F.min("first").alias("b"))
         self.compare(pairs, "nearest")
         apart = self.labelled(groups).filter("component <> first_component")
         self.compare(apart.select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "firsts")
 
-        last, width = None, PIVOTS
-        many = groups.filter("n > 2")
-        unresolved = None
-        while True:
-            at = self.labelled(many)
-            rest = at.filter("component <> first_component")
-            if unresolved is None and largest is not None:
-                open_groups = rest.filter(F.col("n") > largest).select("key").distinct()
-                unresolved = table(many.join(open_groups, "key", "left_semi").select("key", "rep"), "unresolved")
-                many = many.filter(F.col("n") <= largest)
-                continue
-            if last is not None:  # in ascending order, so whoever is left up to `last` has had its turn
-                rest = rest.join(last, "key", "left").filter("last IS NULL OR rep > last")
-            order = Window.partitionBy("key").orderBy("rep")
-            pivots = rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width)
-            pivots = table(pivots.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")), "pivots")
-            if pivots.isEmpty():
-                drop_tables(pivots)
-                return unresolved
-            others = at.join(pivots, "key").filter("component <> cb and rep <> first")
-            self.compare(others.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "pivots")
-            used = pivots.groupBy("key").agg(F.max("b").alias("last"))
-            if last is not None:
-                used = used.unionByName(last).groupBy("key").agg(F.max("last").alias("last"))
-            last, width = table(used, "last"), width * 4
-            drop_tables(pivots)
+    def rest_in_pairs(self, groups: DataFrame) -> None:
+        """Compares those outside the component of their group's first member with all others; for small groups."""
+        at = table(self.labelled(groups), "at")
+        rest = at.filter("component <> first_component").select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
+        others = at.join(rest, "key").filter("component <> cb and rep <> first")
+        self.compare(others.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "rest")
+        drop_tables(at)
+
+    def rest_in_blocks(self, groups: DataFrame, sets: DataFrame) -> None:
+        """The same for groups of any size: blocks of members meet, and only pairs that may be links come out.
+
+        sets: rep, data (see _short_sets). A member is sent once for each block that it meets.
+        """
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        at = self.labelled(groups).withColumn("blocks", blocks).withColumn("own", own)
+        at = table(at, "at")
+        rest = at.filter("component <> first_component")
+        at = at.join(rest.select("key").distinct(), "key", "left_semi")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        mine = rest.select("key", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "rep", "component")
+        theirs = at.select("key", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "rep", "component")
+        met = mine.unionByName(theirs).join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_near_in_block, "a long, b long")
+        self.compare(met.distinct(), "blocks")
+        drop_tables(at)
+
+
+def _short_sets(texts: DataFrame) -> DataFrame:
+    """rep, data: 32 bits of each shingle of a text, packed. texts: doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            data = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["rep", "data"])
+
+    return table(texts.select("doc_id", "text").mapInArrow(run, "rep long, data binary"), "short")
+
+
+def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of an asking and another member whose short sets nearly reach the similarity; counted by products of matrices."""
+    asks, rep, component, data = _columns(batches, ("asks", "rep", "component", "data"))
+    asks, rep, component = np.array(asks, np.bool_), np.array(rep, np.int64), np.array(component, np.int64)
+    sets = [np.frombuffer(d, np.uint32) for d in data]
+    sizes = np.array([len(x) for x in sets])
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(place, minlength=len(words)) > 1
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    row = np.empty(len(sets), np.int64)
+    row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    number = np.cumsum(shared) - 1
+    keep = shared[place]
+    of, place = of[keep], number[place[keep]]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    for lo in range(0, int(shared.sum()), 2048):
+        some = slice(*np.searchsorted(place, [lo, lo + 2048]))
+        held = [np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)]
+        mine = asks[of[some]]
+        held[0][row[of[some][mine]], place[some][mine] - lo] = 1
+        held[1][row[of[some][~mine]], place[some][~mine] - lo] = 1
+        both += held[0] @ held[1].T
+    near = 100 * both >= (SIMILARITY - 1) * (sizes[left][:, None] + sizes[right][None, :] - both)
+    near &= component[left][:, None] != component[right][None, :]
+    x, y = (rep[side[at]] for side, at in zip((left, right), np.nonzero(near), strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+
+def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[list]:
+    held = pa.Table.from_batches(list(batches))
+    return [held.column(c).to_pylist() for c in names]
 
 
 def _grouped(members: DataFrame, name: str) -> DataFrame:
@@ -230,9 +274,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (is it that one).
 
     Documents with one shingle set are a class, represented by its smallest doc_id. Representatives that share a band
-    are candidates; see _Search.resolve for how groups of them are compared without expanding into pairs. Members of
-    large groups that stay unresolved (many texts that are alike, but too little) are regrouped by their rarest
-    shingles, of which every two linked texts share one, and those groups are resolved to the end.
+    are candidates: all are compared with the smallest of their group, then, in small groups, those that aren't in its
+    component with the others. Members of large groups that stay unresolved (many texts that are alike, but too little)
+    are regrouped by their rarest shingles, of which every two linked texts share one, and are compared in blocks. So no
+    two candidates in different components stay uncompared, and no group expands into pairs.
     Null, empty and wordless texts: no shingles, linked with nothing. Rows that repeat a doc_id share its links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -245,11 +290,20 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     search = _Search(reps, docs)
     # a band's hash has its number mixed in, so it is the key alone
     groups = _grouped(reps.select("rep", F.explode("bands").alias("key")), "groups")
-    rest = search.resolve(groups, SMALL).select(F.col("rep").alias("doc_id")).distinct()
-    rest = table(rest, "rest")
+    search.firsts(groups)
+    many = groups.filter("n > 2")
+    search.rest_in_pairs(many.filter(F.col("n") <= SMALL))
+    many = table(many.filter(F.col("n") > SMALL), "many")
+    at = search.labelled(many)
+    keys = at.filter("component <> first_component").select("key").distinct()
+    rest = table(many.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "rest")
+    drop_tables(groups)
     if not rest.isEmpty():
-        texts = docs.join(checked_broadcast(rest, limit=IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        search.resolve(_grouped(_rare_shingles(texts), "rare"), None)
+        texts = table(docs.join(checked_broadcast(rest, limit=IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        rare = _grouped(_rare_shingles(texts), "rare")
+        search.firsts(rare)
+        search.rest_in_blocks(rare, _short_sets(texts))
+        drop_tables(rare, texts)
     named = reps.join(search.labels, "rep").select("k1", "k2", F.col("component").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select(
