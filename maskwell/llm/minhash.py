@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, drop_tables, mix, read, rolling, slices, table, word_hashes
@@ -173,20 +173,31 @@ class _Search:
     def rest_in_blocks(self, groups: DataFrame, sets: DataFrame) -> None:
         """The same for groups of any size: blocks of members meet, and only pairs that may be links come out.
 
-        sets: rep, data (see _short_sets). A member is sent once for each block that it meets.
+        Sketches meet first; full sets are sent only of members that have a partner with a similar sketch.
+        sets: rep, data (see _short_sets).
         """
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        at = self.labelled(groups).withColumn("blocks", blocks).withColumn("own", own)
-        at = table(at, "at")
-        rest = at.filter("component <> first_component")
-        at = at.join(rest.select("key").distinct(), "key", "left_semi")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        mine = rest.select("key", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "rep", "component")
-        theirs = at.select("key", every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "rep", "component")
-        met = mine.unionByName(theirs).join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_near_in_block, "a long, b long")
-        self.compare(met.distinct(), "blocks")
-        drop_tables(at)
+        at = self.labelled(groups).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own)
+        at = table(at.withColumn("minor", F.col("component") != F.col("first_component")), "at")
+        sketches = self.reps.select("rep", F.col("sketch").alias("data"))
+        near = _blocks(at, sketches).applyInArrow(_similar_in_block, "key long, rep long").distinct()
+        near = table(at.join(table(near, "near"), ["key", "rep"], "left_semi"), "at")
+        self.compare(_blocks(near, sets).applyInArrow(_near_in_block, "a long, b long").distinct(), "blocks")
+        drop_tables(at, near)
+
+
+def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
+    """Blocks (i, j) of each group that has minor members: those of block i (side 0) and all of block j (side 1).
+
+    If i = j a member is sent once (side 2).
+    """
+    at = at.join(at.filter("minor").select("key").distinct(), "key", "left_semi").join(data, "rep")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    same = ["key", "rep", "component", "minor", "data"]
+    mine = at.filter("minor AND blocks > 1").select("own", every.alias("j"), F.lit(0).alias("side"), *same).filter("j <> own")
+    theirs = at.select("own", every.alias("i"), *same)
+    theirs = theirs.select(F.col("i"), F.col("own").alias("j"), F.when(F.col("i") == F.col("own"), 2).otherwise(1).alias("side"), *same)
+    return mine.withColumnRenamed("own", "i").unionByName(theirs).groupBy("key", "i", "j")
 
 
 def _short_sets(texts: DataFrame) -> DataFrame:
@@ -200,18 +211,39 @@ def _short_sets(texts: DataFrame) -> DataFrame:
     return table(texts.select("doc_id", "text").mapInArrow(run, "rep long, data binary"), "short")
 
 
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], int]:
+    """Which members ask, which are asked, their ids, components and data, and the key of their group."""
+    held = pa.Table.from_batches(list(batches))
+    side, rep, component, minor = (np.array(held.column(c).to_pylist()) for c in ("side", "rep", "component", "minor"))
+    left, right = np.flatnonzero((side == 0) | ((side == 2) & minor)), np.flatnonzero(side >= 1)
+    return left, right, rep, component, held.column("data").to_pylist(), held.column("key")[0].as_py()
+
+
+def _similar_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with a partner in another component and a similar sketch."""
+    left, right, rep, component, data, key = _sides(batches)
+    sketches = np.frombuffer(b"".join(data), np.uint8).reshape(-1, PLACES)
+    found = np.zeros(len(rep), np.bool_)
+    for lo in range(0, len(left), 32):
+        some = left[lo : lo + 32]
+        near = (sketches[some][:, None, :] == sketches[right][None, :, :]).sum(axis=2) >= SKETCH_LEAST
+        near &= component[some][:, None] != component[right][None, :]
+        found[some[near.any(axis=1)]] = True
+        found[right[near.any(axis=0)]] = True
+    out = rep[found]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key, np.int64)), pa.array(out.astype(np.int64))], ["key", "rep"])
+
+
 def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of an asking and another member whose short sets nearly reach the similarity; counted by products of matrices."""
-    asks, rep, component, data = _columns(batches, ("asks", "rep", "component", "data"))
-    asks, rep, component = np.array(asks, np.bool_), np.array(rep, np.int64), np.array(component, np.int64)
+    """Pairs in two components whose short sets nearly reach the similarity; counted by products of matrices."""
+    left, right, rep, component, data, _ = _sides(batches)
     sets = [np.frombuffer(d, np.uint32) for d in data]
     sizes = np.array([len(x) for x in sets])
     words, place = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.repeat(np.arange(len(sets)), sizes)
     shared = np.bincount(place, minlength=len(words)) > 1
-    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-    row = np.empty(len(sets), np.int64)
-    row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+    rows = np.full((2, len(sets)), -1)
+    rows[0, left], rows[1, right] = np.arange(len(left)), np.arange(len(right))
     both = np.zeros((len(left), len(right)), np.float32)
     number = np.cumsum(shared) - 1
     keep = shared[place]
@@ -220,10 +252,12 @@ def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     of, place = of[order], place[order]
     for lo in range(0, int(shared.sum()), 2048):
         some = slice(*np.searchsorted(place, [lo, lo + 2048]))
-        held = [np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)]
-        mine = asks[of[some]]
-        held[0][row[of[some][mine]], place[some][mine] - lo] = 1
-        held[1][row[of[some][~mine]], place[some][~mine] - lo] = 1
+        held = []
+        for row, size in zip(rows, both.shape, strict=True):
+            at = row[of[some]]
+            matrix = np.zeros((size, 2048), np.float32)
+            matrix[at[at >= 0], place[some][at >= 0] - lo] = 1
+            held.append(matrix)
         both += held[0] @ held[1].T
     near = 100 * both >= (SIMILARITY - 1) * (sizes[left][:, None] + sizes[right][None, :] - both)
     near &= component[left][:, None] != component[right][None, :]
@@ -231,11 +265,6 @@ def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
 
-def _columns(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[list]:
-    held = pa.Table.from_batches(list(batches))
-    return [held.column(c).to_pylist() for c in names]
-
-
 def _grouped(members: DataFrame, name: str) -> DataFrame:
     """(key, rep, first, n) of the keys that several representatives have, as a table. members: key, rep."""
     shared = members.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -302,7 +331,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         texts = table(docs.join(checked_broadcast(rest, limit=IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
         rare = _grouped(_rare_shingles(texts), "rare")
         search.firsts(rare)
-        search.rest_in_blocks(rare, _short_sets(texts))
+        search.rest_in_pairs(rare.filter(F.col("n") > 2).filter(F.col("n") <= SMALL))
+        search.rest_in_blocks(rare.filter(F.col("n") > SMALL), _short_sets(texts))
         drop_tables(rare, texts)
     named = reps.join(search.labels, "rep").select("k1", "k2", F.col("component").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
