@@ -359,8 +359,8 @@ m AS (
   SELECT conv_id, turn, 0 AS r, 'EMAIL' AS type, unnest(x) AS v, unnest(generate_series(1, len(x))) AS ord FROM (SELECT *, regexp_extract_all(text, {_quote(BY_NAME["email"].re2)}) AS x FROM t) WHERE len(x) > 0
   UNION ALL
   SELECT conv_id, turn, 1, 'IPADDR', unnest(x), unnest(generate_series(1, len(x))) FROM (SELECT *, regexp_extract_all(text, {_quote(BY_NAME["ipv4"].re2)}) AS x FROM t) WHERE len(x) > 0
-), f AS (SELECT conv_id, v, min({{'turn': turn, 'r': r, 'ord': ord, 'type': type}}) AS at FROM m GROUP BY ALL),
-n AS (SELECT conv_id, at.type AS type, v AS original_value, row_number() OVER (PARTITION BY conv_id, at.type ORDER BY at.turn, at.r, at.ord, v) AS n FROM f)
+), f AS (SELECT conv_id, v, min({{'turn': turn, 'r': r, 'ord': ord, 'type': type}}) AS p FROM m GROUP BY ALL),
+n AS (SELECT conv_id, p.type AS type, v AS original_value, row_number() OVER (PARTITION BY conv_id, p.type ORDER BY p.turn, p.r, p.ord, v) AS n FROM f)
 """
 
 
