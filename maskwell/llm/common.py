@@ -88,7 +88,7 @@ def running(df: DataFrame, key: str, bucket: str, order: list[str], value: Colum
 class WordHash(dict):
     """word bytes -> 64-bit hash, kept for the words seen most recently; bounded."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

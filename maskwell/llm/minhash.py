@@ -24,6 +24,8 @@ PLACES, BANDS, ROWS = 128, 32, 4
 #: A pair whose sketches (one byte of each signature value) agree in fewer places is no link: at 0.75 the count has
 #: mean 96 and deviation under 5, so 72 lies 5 deviations below.
 SKETCH_LEAST = 72
+#: Wider sketches of texts that stay unresolved: 384 of 512 with deviation under 10 at 0.75, 340 lies 4.5 below.
+WIDE, WIDE_LEAST = 512, 340
 #: Groups of candidates up to this size are compared in pairs; of larger ones what is unresolved is regrouped by rare
 #: shingles and compared in blocks of so many members.
 SMALL, BLOCK = 8, 1024
@@ -40,22 +42,23 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """The SuperMinHash signature: for each place the smallest value, as rank << 25 | fraction in uint32.
+    """The SuperMinHash signature: for each place the smallest value, as rank over fraction in uint32.
 
     The j-th place of an element is ((j * odd + add) & mask) ^ flip, a permutation drawn from its hash of which each
     step can be computed alone.
     """
     mask = np.uint64(places - 1)
     draw = mix(elements, 1)
-    odd, add, flip = (draw & mask) | np.uint64(1), (draw >> np.uint64(8)) & mask, (draw >> np.uint64(16)) & mask
+    odd, add, flip = (draw & mask) | np.uint64(1), (draw >> np.uint64(16)) & mask, (draw >> np.uint64(32)) & mask
+    shift = 33 - places.bit_length()  # bits of the fraction
     least = np.full(places, 0xFFFFFFFF, np.uint32)
     most = 0xFFFFFFFF
     for j in range(places):
-        if (j << 25) > most:
+        if (j << shift) > most:
             break  # no element can lower any value any more
         step = np.uint64(j)
         at = (((step * odd + add) & mask) ^ flip).astype(np.int64)
-        value = (mix(elements, j + 2) >> np.uint64(39)).astype(np.uint32) | np.uint32(j << 25)
+        value = (mix(elements, j + 2) >> np.uint64(64 - shift)).astype(np.uint32) | np.uint32(j << shift)
         np.minimum.at(least, at, value)
         most = int(least.max())
     return least
@@ -70,7 +73,7 @@ def describe(text: str | None) -> tuple:
     places = signature(found)
     bands = mix(np.add.reduce(mix(places.astype(np.uint64).reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(1 << 40)), axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     key = np.array(whole, np.uint64).view(np.int64)
-    return len(found), int(key[0]), int(key[1]), bands.view(np.int64), (mix(places.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+    return len(found), int(key[0]), int(key[1]), bands.view(np.int64), _sketch_of(places)
 
 
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +176,20 @@ class _Search:
     def rest_in_blocks(self, groups: DataFrame, sets: DataFrame) -> None:
         """The same for groups of any size: blocks of members meet, and only pairs that may be links come out.
 
-        Sketches meet first; full sets are sent only of members that have a partner with a similar sketch.
-        sets: rep, data (see _short_sets).
+        Sketches meet first, then wide sketches of members that have a partner with a similar sketch, then full sets
+        of those that still have one. sets: rep, wide, data (see _short_sets).
         """
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         at = self.labelled(groups).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own)
         at = table(at.withColumn("minor", F.col("component") != F.col("first_component")), "at")
-        sketches = self.reps.select("rep", F.col("sketch").alias("data"))
-        near = _blocks(at, sketches).applyInArrow(_similar_in_block, "key long, rep long").distinct()
-        near = table(at.join(table(near, "near"), ["key", "rep"], "left_semi"), "at")
-        self.compare(_blocks(near, sets).applyInArrow(_near_in_block, "a long, b long").distinct(), "blocks")
-        drop_tables(at, near)
+        for sketches, least in ((self.reps.select("rep", F.col("sketch").alias("data")), SKETCH_LEAST), (sets.select("rep", F.col("wide").alias("data")), WIDE_LEAST)):
+            near = _blocks(at, sketches).applyInArrow(_similar_in_block(least), "key long, rep long").distinct()
+            some = table(at.join(table(near, "near"), ["key", "rep"], "left_semi"), "at")
+            drop_tables(at)
+            at = some
+        sets = sets.select("rep", "data")
+        self.compare(_blocks(at, sets).applyInArrow(_near_in_block, "a long, b long").distinct(), "blocks")
+        drop_tables(at)
 
 
 def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
@@ -200,15 +206,22 @@ def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
     return mine.withColumnRenamed("own", "i").unionByName(theirs).groupBy("key", "i", "j")
 
 
+def _sketch_of(places: np.ndarray) -> bytes:
+    """One byte of each signature value."""
+    return (mix(places.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def _short_sets(texts: DataFrame) -> DataFrame:
-    """rep, data: 32 bits of each shingle of a text, packed. texts: doc_id, text."""
+    """rep, wide (a sketch of WIDE places), data (32 bits of each shingle of a text, packed). texts: doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            data = [np.unique((shingles(t) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["rep", "data"])
+            found = [shingles(t) for t in part.column(1).to_pylist()]
+            wide = [_sketch_of(signature(f, WIDE)) for f in found]
+            data = [np.unique((f >> np.uint64(32)).astype(np.uint32)).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide, pa.binary()), pa.array(data, pa.binary())], ["rep", "wide", "data"])
 
-    return table(texts.select("doc_id", "text").mapInArrow(run, "rep long, data binary"), "short")
+    return table(texts.select("doc_id", "text").mapInArrow(run, "rep long, wide binary, data binary"), "short")
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], int]:
@@ -219,19 +232,23 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     return left, right, rep, component, held.column("data").to_pylist(), held.column("key")[0].as_py()
 
 
-def _similar_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members with a partner in another component and a similar sketch."""
-    left, right, rep, component, data, key = _sides(batches)
-    sketches = np.frombuffer(b"".join(data), np.uint8).reshape(-1, PLACES)
-    found = np.zeros(len(rep), np.bool_)
-    for lo in range(0, len(left), 32):
-        some = left[lo : lo + 32]
-        near = (sketches[some][:, None, :] == sketches[right][None, :, :]).sum(axis=2) >= SKETCH_LEAST
-        near &= component[some][:, None] != component[right][None, :]
-        found[some[near.any(axis=1)]] = True
-        found[right[near.any(axis=0)]] = True
-    out = rep[found]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key, np.int64)), pa.array(out.astype(np.int64))], ["key", "rep"])
+def _similar_in_block(least: int):
+    """Members with a partner in another component whose sketch agrees in so many places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, rep, component, data, key = _sides(batches)
+        sketches = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+        found = np.zeros(len(rep), np.bool_)
+        for lo in range(0, len(left), 16):
+            some = left[lo : lo + 16]
+            near = (sketches[some][:, None, :] == sketches[right][None, :, :]).sum(axis=2) >= least
+            near &= component[some][:, None] != component[right][None, :]
+            found[some[near.any(axis=1)]] = True
+            found[right[near.any(axis=0)]] = True
+        out = rep[found]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), key, np.int64)), pa.array(out.astype(np.int64))], ["key", "rep"])
+
+    return run
 
 
 def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
