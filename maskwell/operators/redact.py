@@ -26,8 +26,8 @@ def _accept(state: Column, m: Column, kind: Column | str, sensitivity: str, sour
     else:
         phantom = F.when(kinds == "ORG", pick_phantom("ORG", m["core"], used)).otherwise(pick_phantom("PERSON", m["core"], used))
     entry = F.struct(token.alias("token"), kinds.alias("type"), m["core"].alias("original_value"), phantom.alias("phantom_value"), F.lit(sensitivity).alias("sensitivity"), F.lit(source).alias("source"))
-    if occurrence == "all":  # the value itself too, where it stands without what led to it
-        changed = F.replace(F.replace(text, m["surface"], token), m["core"], token)
+    if occurrence == "all":  # the value alone, so that the words that led to it come back with it
+        changed = F.replace(text, m["core"], token)
     else:
         at = F.instr(text, m["surface"])
         changed = F.overlay(text, token, at, F.length(m["surface"]))
