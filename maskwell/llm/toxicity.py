@@ -218,14 +218,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...
     seen = rows.filter("label = 1").mapInArrow(_count(None), _COUNTS).groupBy("term").agg(F.sum("n").alias("n"))
     # a term of a bounded number of documents each, so many in all that it marks half a percent of them
     toxic = Counter({r["term"]: r["n"] for r in seen.filter(F.col("n") >= max(3, n_toxic // 200)).collect()})
-    wanted = rows.sparkSession.sparkContext.broadcast(set(toxic))
-    counted = rows.mapInArrow(lambda it: _count(wanted.value)(it), _COUNTS)
-    other, documents = Counter(), []
-    for r in counted.filter("label = 0 OR term = ''").collect():
-        if r["term"]:
-            other[r["term"]] += r["n"]
-        else:
-            documents.append(set(r["found"]))
+    context = rows.sparkSession.sparkContext
+    wanted = context.broadcast(set(toxic))
+    counted = rows.filter("label = 0").mapInArrow(lambda it: _count(wanted.value)(it), _COUNTS).groupBy("term").agg(F.sum("n").alias("n"))
+    other = Counter({r["term"]: r["n"] for r in counted.collect()})
+    # only terms that may be chosen come back with their documents: far fewer than all
+    marks = {t for t, n in toxic.items() if math.log((n + 0.5) / (n_toxic + 1)) - math.log((other[t] + 0.5) / (n_other + 1)) >= LEAST_ODDS}
+    marking = context.broadcast(marks)
+    found = rows.filter("label = 1").mapInArrow(lambda it: _count(marking.value)(it), _COUNTS).filter("term = ''")
+    documents = [set(r["found"]) for r in found.select("found").toLocalIterator()]
     learned = _choose(documents, toxic, other, n_toxic, n_other)
     for term in weights.keys() - learned.keys():  # what labels show to be harmless isn't kept
         if other[term] > 2 and math.log((toxic[term] + 0.5) / (n_toxic + 1)) < math.log((other[term] + 0.5) / (n_other + 1)) + 1:
