@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from maskwell.config import RedactConfig
 from maskwell.functions import text as T
+from maskwell.functions.rules import BY_NAME
 from maskwell.operators import sessions as S
 from maskwell.operators.redact import redact
 
@@ -69,7 +70,7 @@ def test_orphans(spark):
 
 def test_session_numbers_never_collide(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a@b.co"), (1, 1, "user", "c@d.co and a@b.co"), (2, 0, "user", "c@d.co")], "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["original_value"]): r["token"] for r in S.session_tokens(turns).collect()}
+    got = {(r["conv_id"], r["original_value"]): r["token"] for r in S.session_tokens(turns, (BY_NAME["email"],)).collect()}
     assert got == {(1, "a@b.co"): "[EMAIL_1]", (1, "c@d.co"): "[EMAIL_2]", (2, "c@d.co"): "[EMAIL_1]"}
 
 
