@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, drop_tables, mix, read, rolling, slices, table, word_hashes
@@ -27,8 +27,8 @@ SKETCH_LEAST = 72
 #: Wider sketches of texts that stay unresolved: 384 of 512 with deviation under 10 at 0.75, 340 lies 4.5 below.
 WIDE, WIDE_LEAST = 512, 340
 #: Groups of candidates up to this size are compared in pairs; of larger ones what is unresolved is regrouped by rare
-#: shingles and compared in blocks of so many members.
-SMALL, BLOCK = 8, 1024
+#: shingles and compared in blocks of at most so many members, of at least so many for up to PARTS blocks.
+SMALL, BLOCK, LEAST_BLOCK, PARTS = 8, 1024, 128, 4
 #: Ids of candidates that are broadcast to fetch their texts without a shuffle of all texts.
 IDS = 1_000_000
 
@@ -176,11 +176,11 @@ class _Search:
     def rest_in_blocks(self, groups: DataFrame, sets: DataFrame) -> None:
         """The same for groups of any size: blocks of members meet, and only pairs that may be links come out.
 
-        Sketches meet first, then wide sketches of members that have a partner with a similar sketch, then full sets
+        Groups that overlap are compared as one family where that is less work. Sketches meet first, then wide sketches of members that have a partner with a similar sketch, then full sets
         of those that still have one. sets: rep, wide, data (see _short_sets).
         """
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        at = self.labelled(groups).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own)
+        at = self.labelled(_families(groups)).withColumn("blocks", _block_count(F.col("n"))).withColumn("own", own)
         at = table(at.withColumn("minor", F.col("component") != F.col("first_component")), "at")
         for sketches, least in ((self.reps.select("rep", F.col("sketch").alias("data")), SKETCH_LEAST), (sets.select("rep", F.col("wide").alias("data")), WIDE_LEAST)):
             near = _blocks(at, sketches).applyInArrow(_similar_in_block(least), "key long, rep long").distinct()
@@ -192,6 +192,31 @@ class _Search:
         drop_tables(at)
 
 
+def _block_count(n: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(n / LEAST_BLOCK), F.lit(PARTS))).cast("int")
+
+
+def _families(groups: DataFrame) -> DataFrame:
+    """groups (key, rep, first, n), with those that hang together by common members made one group where that is less.
+
+    A member is in one group for each of its rare shingles, and most of these have nearly the same members, so a family
+    is sent and compared once in place of dozens of times. A family keeps its groups if, as one, more members would be
+    sent to blocks or more pairs would meet, as in a large one that a few members hold together. A family holds all
+    pairs of its groups.
+    """
+    groups = table(groups, "of-families")
+    family = components(groups.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    by_key = groups.filter("rep = first").join(family, F.col("first") == F.col("id"))
+    by_key = by_key.groupBy("component").agg(F.sum(n * _block_count(n)).alias("sent"), F.sum(n * n).alias("met"))
+    sizes = family.groupBy("component").agg(F.count("*").alias("m"))
+    less = by_key.join(sizes, "component").filter((m * _block_count(m) <= F.col("sent")) & (m * m <= F.col("met")))
+    less = table(less.select("component", "m"), "families")
+    whole = family.join(less, "component").select(F.xxhash64("component").alias("key"), F.col("id").alias("rep"), F.col("component").alias("first"), F.col("m").alias("n"))
+    one = table(family.join(less, "component", "left_semi").select(F.col("id").alias("rep")), "of-whole")
+    return whole.unionByName(groups.join(one, "rep", "left_anti").select("key", "rep", "first", "n"))
+
+
 def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
     """Blocks (i, j) of each group that has minor members: those of block i (side 0) and all of block j (side 1).
 
@@ -322,8 +347,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     Documents with one shingle set are a class, represented by its smallest doc_id. Representatives that share a band
     are candidates: all are compared with the smallest of their group, then, in small groups, those that aren't in its
     component with the others. Members of large groups that stay unresolved (many texts that are alike, but too little)
-    are regrouped by their rarest shingles, of which every two linked texts share one, and are compared in blocks. So no
-    two candidates in different components stay uncompared, and no group expands into pairs.
+    are regrouped by their rarest shingles, of which every two linked texts share one, and are compared in blocks, groups
+    with common members as one family where that is less work. So no two candidates in different components stay uncompared, and no group expands into pairs.
     Null, empty and wordless texts: no shingles, linked with nothing. Rows that repeat a doc_id share its links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
