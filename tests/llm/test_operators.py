@@ -38,9 +38,12 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_large_groups_alike_but_too_little(spark, monkeypatch):
+@pytest.mark.parametrize("families", [True, False])
+def test_large_groups_alike_but_too_little(spark, monkeypatch, families):
     """More members than a block, near the limit on both sides: regrouped by rare shingles, compared in blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    if not families:  # as where a few members hold a large family together
+        monkeypatch.setattr(minhash, "_families", lambda groups: groups)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     rows = []
