@@ -88,11 +88,11 @@ def _sentences_sql(name: str) -> str:
 def _detect(spark: SparkSession, sf_dir: str, rule: str, source: str | None = None) -> DataFrame:
     """All matches of one pattern: doc_id, ord, surface."""
     docs = _read(spark, sf_dir, source) if source else _sentences(spark, sf_dir, rule)
-    docs = docs.filter("text rlike '^[\\\\x00-\\\\x7F]*$'") if source else docs
     found = docs.select("doc_id", F.posexplode(T.matches(F.col("text"), BY_NAME[rule])).alias("ord", "m"))
     return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("m.surface").alias("surface"))
 
 
+#: The SQL over documents and conversations covers ASCII texts alone, where RE2 and Java agree; the queries read all.
 _ASCII = r"regexp_full_match(text, '[\x00-\x7F]*', 's')"
 
 
@@ -134,8 +134,8 @@ for _name in ("email", "ipv4", "url"):
 _DOCS = f"(SELECT doc_id, text FROM documents WHERE {_ASCII})"
 
 
-def _ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text").filter("text rlike '^[\\\\x00-\\\\x7F]*$'")
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 @query("scan_documents", "SELECT lang, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY lang")
@@ -218,7 +218,7 @@ def _mixed(spark, sf_dir):
 
 
 def _real(spark, sf_dir):
-    return M.mentions(_ascii_docs(spark, sf_dir), rules=_RULES)
+    return M.mentions(_docs(spark, sf_dir), rules=_RULES)
 
 
 @query("mention_union", _REAL + " SELECT doc_id, rule, type, CAST(ord AS BIGINT) AS ord, surface FROM m")
@@ -258,7 +258,7 @@ s AS (SELECT doc_id, text, list_sort(list_transform(d, lambda x: {{'p': list_pos
 
 
 def _email_docs(spark, sf_dir, occurrence):
-    docs = _ascii_docs(spark, sf_dir).filter("contains(text, '@')")
+    docs = _docs(spark, sf_dir).filter("contains(text, '@')")
     return redact_rules(docs, (_MAIL,), occurrence).filter("n_tokens > 0")
 
 
@@ -348,8 +348,7 @@ _TURN = "concat(text, ' mail u', cast(turn % 3 as {S}), '@c', cast(conv_id as {S
 
 
 def _turns(spark, sf_dir):
-    t = _read(spark, sf_dir, "conversations").filter("text rlike '^[\\\\x00-\\\\x7F]*$'")
-    return t.withColumn("text", F.expr(_TURN.replace("{S}", "string")))
+    return _read(spark, sf_dir, "conversations").withColumn("text", F.expr(_TURN.replace("{S}", "string")))
 
 
 _SESSION_RULES = (BY_NAME["email"], BY_NAME["ipv4"])
