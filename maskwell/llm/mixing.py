@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each document expects a number of copies. The whole part is certain; for the rest documents are ranked by the odds of
-a random number over the odds of their inclusion, and the first ones make a sample of fixed size, measured in words.
+a random number over the odds of their inclusion, and the first ones make a sample of fixed size, measured in words;
+those that don't fit in what is left are skipped.
 Expected copies rise a little with a document's length class, so inclusion is unequal within a source too.
-Built of DataFrame operations alone: two passes over skinny rows, no task holds a source.
+Built of DataFrame operations alone: passes over skinny rows, no task holds a source.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,6 @@ from .common import WORD, bucket_count, checked_broadcast, read, running, table,
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
 #: Expected copies grow by this share for each doubling of a document's length, before targets are met.
 LENGTH_SLOPE = 0.05
-#: For each source and length class, so many further documents may fill what the sample leaves of the target.
-FILLERS = 4
 
 
 def water_fill(groups: DataFrame, by: list[str], cap: str, weight: str, total: str, out: str) -> DataFrame:
@@ -40,6 +41,27 @@ def _odds(p: Column) -> Column:
     return p / (1.0 - p)
 
 
+def _fill(docs: DataFrame, gaps: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(row, _in) of the rows of docs (sk, size, row, bucket, left) that fit in their source's gap, and what is left of gaps.
+
+    Rows are taken in order, those that don't fit are skipped, each row up to `left` times. A round takes what comes
+    before the first row that doesn't fit, by running sums; after it the gap is smaller than that row. It ends when no
+    row that is left fits in its gap: every row has been considered, and each round takes one of each open source.
+    """
+    rounds = [docs.select("row", F.lit(0).cast("long").alias("_in")).limit(0)]
+    while True:
+        fits = docs.join(checked_broadcast(gaps), "sk").filter((F.col("left") > 0) & (F.col("size") <= F.col("gap")))
+        at = running(fits, "sk", "bucket", order, F.col("size"), "before")
+        at = table(at.withColumn("in", (F.col("before") + F.col("size") <= F.col("gap")).cast("int")), "before")
+        if at.isEmpty():
+            return table(reduce(DataFrame.unionByName, rounds).groupBy("row").agg(F.sum("_in").alias("_in")), "filled"), gaps
+        took = at.filter("in = 1")
+        rounds.append(took.select("row", F.lit(1).cast("long").alias("_in")))
+        sums = took.groupBy("sk").agg(F.sum("size").alias("_sum"))
+        gaps = table(gaps.join(sums, "sk", "left").select("sk", (F.col("gap") - F.coalesce("_sum", F.lit(0))).alias("gap")), "gaps")
+        docs = at.withColumn("left", F.col("left") - F.col("in")).drop("gap", "before", "in")
+
+
 def mix_sources(
     docs: DataFrame,
     size: Column,
@@ -108,35 +130,21 @@ def mix_sources(
         "rank", F.when(open_part, scaled / (1 + scaled))
     )
     ranked = table(ranked.withColumn("bucket", F.floor(F.col("rank") * buckets).cast("int")), "ranked")
-    eligible = ranked.filter("rank IS NOT NULL").select("sk", "class", "size", "rank", "bucket", "row", "rest", "whole", "_key")
-    order = ["rank", "size", "_key", "row"]
-    before = table(running(eligible, "sk", "bucket", order, F.col("size"), "before"), "before")
-    inside = (F.col("before") + F.col("size")) <= F.col("rest")
-
-    # What the sample leaves of each target goes to further copies, the longest documents that fit first: the next in
-    # rank, and where they don't do, documents that the mix already has but may repeat once more.
-    gaps = before.groupBy("sk").agg((F.first("rest") - F.coalesce(F.max(F.when(inside, F.col("before") + F.col("size"))), F.lit(0))).alias("gap"))
-    columns = ["sk", "class", "size", "row", "whole", "rank", "_key"]
-    more = before.withColumn("in", inside.cast("int")).select(*columns, "in")
-    more = more.unionByName(ranked.filter("rank IS NULL AND class >= 0").select(*columns, F.lit(1).alias("in")))
-    more = more.filter(F.col("whole") + F.when(F.col("rank").isNull(), 0).otherwise(F.col("in")) < repeats)
-    next_ones = Window.partitionBy("sk", "class").orderBy("in", F.asc_nulls_last("rank"), "size", "_key", "row")
-    fillers = more.withColumn("place", F.row_number().over(next_ones)).filter(F.col("place") <= FILLERS)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("class")).alias("c"), "place", "size", "row")))
-    zero = F.struct(F.first("gap").alias("gap"), F.array().cast("array<bigint>").alias("rows"))
-    taken = F.aggregate(
-        listed,
-        zero,
-        lambda at, x: F.when(x["size"] <= at["gap"], F.struct((at["gap"] - x["size"]).alias("gap"), F.array_append(at["rows"], x["row"]).alias("rows"))).otherwise(at),
-    )
-    filled = fillers.join(gaps, "sk").groupBy("sk").agg(listed.alias("listed"), taken.alias("taken"))
+    gaps = table(plan.groupBy("sk").agg(F.first("rest").alias("gap")), "gaps")
+    columns = ["sk", "size", "row", "_key", "bucket", "left"]
+    eligible = ranked.filter("rank IS NOT NULL").withColumn("left", F.lit(1)).select(*columns, "rank")
+    first, gaps = _fill(eligible, gaps, ["rank", "size", "_key", "row"])
+
+    # No document that is out fits now. What is left of each target goes to documents that the mix may repeat once more.
+    near = ranked.filter("class >= 0").join(checked_broadcast(gaps), "sk").filter(F.col("size") < 2 * F.col("gap")).drop("gap")
+    used = near.join(first, "row", "left").withColumn("left", (repeats - F.col("whole") - F.coalesce("_in", F.lit(0))).cast("int"))
+    some = table(used.withColumn("bucket", F.floor(F.col("u") * buckets).cast("int")).select(*columns, "u"), "near")
+    second, gaps = _fill(some, gaps, ["u", "size", "_key", "row"])
     # One more, if going beyond the target by it comes nearer than stopping short.
-    beyond = "filter(listed, x -> NOT array_contains(taken.rows, x.row) AND x.size < 2 * taken.gap)"
-    nearest = F.expr(f"array_min(transform({beyond}, x -> named_struct('off', abs(x.size - taken.gap), 'row', x.row))).row")
-    rows = F.filter(F.concat(F.col("taken.rows"), F.array(nearest)), lambda x: x.isNotNull())
-    extra = filled.select(F.explode(rows).alias("row"))
-
-    chosen = before.filter(inside).select("row").unionByName(extra).groupBy("row").agg(F.count("*").alias("_in"))
+    after = some.join(second, "row", "left").filter(F.col("left") > F.coalesce("_in", F.lit(0)))
+    beyond = after.join(checked_broadcast(gaps), "sk").filter(F.col("size") < 2 * F.col("gap"))
+    nearest = beyond.groupBy("sk").agg(F.min(F.struct("size", "u", "_key", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(1).cast("long").alias("_in"))
+    chosen = first.unionByName(second).unionByName(nearest).groupBy("row").agg(F.sum("_in").alias("_in"))
     # sources: as many rows as there are sources
     out = ranked.join(chosen, "row", "left").join(checked_broadcast(table(sources, "sources")), "sk")
     if carry:  # long columns are read again at the end

@@ -92,6 +92,25 @@ def test_mixing(docs, empty):
     assert mixing.mix_sources(empty, mixing.word_count()).count() == 0
 
 
+def test_mixing_with_one_long_document(spark):
+    """One document holds a third of its source: the sample goes on past it, down to a gap that no document fits."""
+    rows = []
+    for s in range(30):
+        rng = random.Random(s)
+        sizes = [rng.randint(50, 799) for _ in range(120)]
+        rows += [(1000 * s + i, f"s{s:02}", n) for i, n in enumerate([*sizes, sum(sizes) // 2])]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed = mixing.mix_sources(frame, F.col("size"), weights=(1.0,), repeats=1, share=0.5)
+    by = {}
+    for r in mixed.collect():
+        assert 0 <= r["copies"] <= 1
+        by.setdefault(r["source"], []).append(r)
+    for got in by.values():
+        left = got[0]["target"] - sum(r["taken"] for r in got)
+        assert left < min(r["size"] for r in got if not r["copies"]) and abs(left) <= 0.005 * got[0]["target"]
+    assert len(by) == 30 and 0 < sum(r["copies"] for v in by.values() for r in v if r["size"] > 10_000) < 30
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=5).collect()
     counts, slots = {}, {}
