@@ -21,11 +21,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that repeat an id one stays."""
-    gone = table(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
-    rest = docs.select(*COLUMNS).join(checked_broadcast(gone, limit=IDS), "doc_id", "left_anti").select(*COLUMNS)
-    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").isEmpty()
-    return rest if repeats else rest.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near-duplicates.
+
+    A document is an id with a text: texts under one id are judged each for itself, and a null id comes last and is no
+    id that rows share. Rows that repeat both id and text are one document and leave one row; so do null ids with one
+    text that has words. Texts without words are linked with nothing: all rows with a null id and no words stay.
+    """
+    key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
+    keyed = docs.select(*COLUMNS, key.alias("_key"))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component"), F.count("*").alias("n"))
+    found = table(found.join(keyed.select("_key", "doc_id").distinct(), "_key"), "near")
+    best = found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_key"))["_key"].alias("_best"))
+    gone = table(found.join(best, "component").filter("_key <> _best").select("_key"), "gone")
+    rest = keyed.join(checked_broadcast(gone, limit=IDS), "_key", "left_anti")
+    again = table(found.filter("n > 1 AND (doc_id IS NOT NULL OR n_shingles > 0)").select("_key"), "again")
+    if not again.isEmpty():  # only the texts of repeated rows are shuffled
+        again = checked_broadcast(again, limit=IDS)
+        once = rest.join(again, "_key", "left_semi").dropDuplicates(["_key"])
+        rest = rest.join(again, "_key", "left_anti").unionByName(once)
+    return rest.select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,3 +219,16 @@ def test_pipeline_stages(spark, docs, empty):
         frame = spark.createDataFrame(out.collect(), out.schema)
         assert frame.count() > 0
         stage(spark, empty.select(*corpus_pipeline.COLUMNS), "").count()
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_near_dedup_judges_each_text(spark, repeat):
+    """Null ids and ids with several texts: what stays doesn't depend on whether some other id occurs twice."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, None), (None, None), (5, d), (5, e), (3, d), (7, c), (8, ""), (9, " ")]
+    rows += [(2, f), (2, f)] if repeat else [(2, f)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, frame, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    want = [(None, a), (None, b), (None, None), (None, None), (3, d), (5, e), (7, c), (8, ""), (9, " "), (2, f)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
