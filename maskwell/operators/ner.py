@@ -63,11 +63,31 @@ def softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
+def _deletions(word: Column) -> Column:
+    """The forms of a word with up to two letters left out; two words at edit distance two or less share one."""
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.overlay(w, F.lit(""), i, F.lit(1)))
+    once = F.when(F.length(word) > 0, one(word)).otherwise(F.array().cast("array<string>"))
+    twice = F.flatten(F.transform(once, lambda w: F.when(F.length(w) > 0, one(w)).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), once, twice))
+
+
+def _prefixes(word: Column) -> Column:
+    """The prefixes of four letters or more."""
+    return F.when(F.length(word) >= 4, F.transform(F.sequence(F.lit(4), F.length(word)), lambda n: F.substring(word, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
 def repair_names(names: DataFrame, known: DataFrame) -> DataFrame:
-    """name, best: the known name at edit distance two or less; first letters are equal, so it joins on them."""
-    left = names.select("name", F.lower(F.substring("name", 1, 1)).alias("_i")).distinct()
-    pairs = left.join(known.select(F.col("name").alias("known"), F.lower(F.substring("name", 1, 1)).alias("_i")), "_i")
-    pairs = pairs.withColumn("d", F.levenshtein(F.lower("name"), F.lower("known"))).filter("d <= 2")
+    """name, best: the nearest known name at edit distance two or less, or that a name of four letters or more begins.
+
+    Case is ignored; of names as near the smallest. Joins on forms with up to two letters left out and on prefixes,
+    which lose no such pair.
+    """
+    left = names.filter("name IS NOT NULL").select("name").distinct().withColumn("low", F.lower("name"))
+    right = known.filter("name IS NOT NULL").select(F.col("name").alias("known")).distinct().withColumn("known_low", F.lower("known"))
+    near = left.withColumn("_k", F.explode(_deletions(F.col("low")))).join(right.withColumn("_k", F.explode(_deletions(F.col("known_low")))), "_k")
+    near = near.drop("_k").distinct().filter(F.levenshtein("low", "known_low") <= 2)
+    begun = left.filter(F.length("low") >= 4).join(right.withColumn("low", F.explode(_prefixes(F.col("known_low")))), "low").select(*near.columns)
+    pairs = near.unionByName(begun).withColumn("d", F.levenshtein("low", "known_low"))
     return pairs.groupBy("name").agg(F.min(F.struct("d", "known")).alias("m")).select("name", F.col("m.known").alias("best"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions import text as T
-from ..functions.rules import BY_NAME, COMPOUND_ORGS, ORG_CONTEXT, PHANTOMS, SAFE_DOMAINS
+from ..functions.rules import BY_NAME, COMPOUND_ORGS, FIRST_NAMES, ORG_CONTEXT, PHANTOMS, SAFE_DOMAINS
 from ..operators import mentions as M
 from ..operators import metrics, ner
 from ..operators import sessions as S
@@ -491,6 +491,13 @@ def name_fuzzy_match(spark, sf_dir):
     return ner.repair_names(names, spark.createDataFrame([("Sarah",), ("Michael",), ("Tim",)], "name string"))
 
 
+@query("name_fuzzy_match_documents", None)
+def name_fuzzy_match_documents(spark, sf_dir):
+    """Each capitalised word of the documents, and the listed first name that it stands for."""
+    words = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)\\b[A-Z][a-zA-Z'-]{2,}\\b"), F.lit(0)))
+    return ner.repair_names(_docs(spark, sf_dir).select(words.alias("name")), spark.createDataFrame([(n,) for n in FIRST_NAMES], "name string"))
+
+
 @query("name_sounds", None)
 def name_sounds(spark, sf_dir):
     return ner.sounds(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("word")))

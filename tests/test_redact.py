@@ -92,3 +92,31 @@ def test_every_query_has_rows_or_schema(spark):
 
     for name in ("detect_ssn", "stats_pivot", "session_redact", "vertical_breakdown"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_repair_names_loses_no_pair(spark):
+    """First letters that differ, prefixes, and random words against all pairs."""
+    import random
+
+    from maskwell.operators.ner import repair_names
+
+    rng = random.Random(1)
+    words = lambda n: {"".join(rng.choices("abC", k=rng.randint(1, 7))) for _ in range(n)}
+    names, known = {"Kris", "Alex", "Ale", "Ándre", "Zzzzz", ""} | words(60), {"Chris", "Alexander", "Andre"} | words(40)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    want = {}
+    for n in names:
+        fine = [(d, k) for k in known if (d := distance(n.lower(), k.lower())) <= 2 or len(n) >= 4 and k.lower().startswith(n.lower())]
+        if fine:
+            want[n] = min(fine)[1]
+    assert want["Kris"] == "Chris" and want["Alex"] == "Alexander" and "Zzzzz" not in want
+    frames = [spark.createDataFrame([(w,) for w in sorted(x)], "name string") for x in (names, known)]
+    assert {r["name"]: r["best"] for r in repair_names(*frames).collect()} == want
