@@ -1,6 +1,7 @@
 """One query for each operator over the driver's tables, and the same in SQL for DuckDB.
 
-Detectors that no document trips read sentences built from keys, by the same expression in both engines.
+Detectors that no document trips read sentences built from keys, by the same expression in both engines. The three
+phone detectors do so too, and read the documents in queries of their own.
 """
 
 from __future__ import annotations
@@ -92,6 +93,8 @@ def _detect(spark: SparkSession, sf_dir: str, rule: str, source: str | None = No
     return found.select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("m.surface").alias("surface"))
 
 
+#: Rules that documents match too: their sentences keep detect_NAME, the whole table is detect_NAME_documents.
+_PHONES = ("phone_us", "phone_sa", "phone_local")
 #: The SQL over documents and conversations covers ASCII texts alone, where RE2 and Java agree; the queries read all.
 _ASCII = r"regexp_full_match(text, '[\x00-\x7F]*', 's')"
 
@@ -131,6 +134,9 @@ for _name in ("email", "ipv4", "url"):
     QUERIES[f"detect_{_name}"] = partial(_detect, rule=_name, source="documents")
     ORACLE[f"detect_{_name}"] = _detect_sql(_name, "documents")
 
+for _name in _PHONES:
+    QUERIES[f"detect_{_name}_documents"] = partial(_detect, rule=_name, source="documents")
+
 _DOCS = f"(SELECT doc_id, text FROM documents WHERE {_ASCII})"
 
 
