@@ -24,18 +24,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; on a cluster that is an error, as each executor would
+    write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="maskwell-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+_OWN: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder for tables, under the shared one; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/maskwell/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _OWN.add(path)
+    return path
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, gives the planner sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/maskwell/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,9 +76,9 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on key and seed alone."""
-    bits = F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))
+def uniform(key: Column, seed: int, *more: Column) -> Column:
+    """A number in (0, 1) that depends on key, seed and more columns alone."""
+    bits = F.xxhash64(key, F.lit(seed), *more).bitwiseAND(F.lit((1 << 52) - 1))
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -86,14 +107,16 @@ def running(df: DataFrame, key: str, bucket: str, order: list[str], value: Colum
 
 
 class WordHash(dict):
-    """word bytes -> 64-bit hash, kept for the words seen most recently; bounded."""
+    """word bytes -> 64-bit hash, kept for the short words seen most recently: at most LIMIT of LONGEST bytes."""
 
-    LIMIT = 150_000
+    LIMIT, LONGEST = 150_000, 48
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
 
