@@ -25,8 +25,8 @@ from .common import read, tokenizer_file
 VOCABULARY = "byte_bpe_50k.json"
 #: How byte-level BPE of this family parts a text before merges (fixed by the vocabulary).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids a worker remembers, and characters of text that are encoded at a time.
-CACHE, CHARS = 250_000, 3_000_000
+#: Pieces whose ids a worker remembers, their characters at most, and characters of text that are encoded at a time.
+CACHE, LONGEST, CHARS = 250_000, 32, 3_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -140,7 +140,7 @@ class Bpe:
         return [tuple(ids[lo:hi]) for lo, hi in zip(starts, stops, strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, special strings as their own ids."""
+        """The ids of each text, special strings as their own ids. Long pieces are forgotten after the call."""
         parted, new = [], {}
         for text in texts:
             parts = self.parts.split(text) if self.parts and "<" in text else [text]
@@ -156,6 +156,9 @@ class Bpe:
         self.known.update((p, (i,)) for p, i in self.special.items())
         for found in parted:
             yield list(chain.from_iterable(map(self.known.__getitem__, found)))
+        for p in fresh:
+            if len(p) > LONGEST:
+                del self.known[p]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -166,7 +169,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "t
     """doc_id, n_tokens, SHA-256 of the ids joined by commas and of the decoded text; with_ids adds ids, decoded.
 
     One scan, no shuffle; the index covers some megabytes of text at a time. Null texts are empty: no ids, and the
-    digests of nothing. Texts of any length are encoded whole. Repeated rows are encoded each by itself.
+    digests of nothing. Texts of any length are encoded whole; one longer than CHARS has an index of its own. Repeated
+    rows, repeated ids and null ids are encoded each by itself. An empty table gives an empty result. Other columns of
+    docs are dropped, whatever their names. Of pairs of one rank the leftmost is merged first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
