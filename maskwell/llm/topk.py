@@ -1,30 +1,34 @@
 """Exact top-k by inner product with no-random-access aggregation over sorted lists.
 
 Each dimension of a block of candidates is a list sorted by value; a query reads it from the end that its sign
-favours. After some depth a candidate's score lies between what was read plus the worst and plus the best that its
-unread entries can be: the list's end and the last value read. Candidates whose upper bound is below the k-th lower
-bound are out; a query stops reading a block when no candidate, seen or not, can qualify. What is left is resolved to
-final scores. Bounds for many queries at once are products of matrices.
+favours, all lists to one depth, and never looks a candidate up. At any depth a candidate's score lies between what
+was read of it plus the worst and plus the best that its unread entries can be: the far end of the list, and the last
+value read. Candidates whose upper bound is below the k-th best lower bound are out; a candidate that no list has
+shown yet has an upper bound too, so outsiders need no case of their own. Lists are read on, to twice the depth each
+time, until at most k candidates are in or the lists end; entries of those that are out are passed over, and what is
+left of the lists resolves the final scores of those that are in. Bounds for many queries at once are products of
+matrices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, table
 
 K, EVERY, SCALE = 5, 50, 256
 #: Candidates whose lists are sorted together, queries whose bounds are computed together.
 BLOCK, QUERIES = 2048, 512
-#: Queries that are broadcast at once (8 bytes a component); more take further passes over the candidates.
-WAVE = 65_536
-#: Shares of the lists that are read before bounds are checked.
-DEPTHS = (0.25, 0.5)
+#: Bytes of queries (8 a component) that are broadcast at once; more queries take further passes over the candidates.
+WAVE_BYTES = 64 << 20
+#: The depth that lists are first read to.
+FIRST_DEPTH = 64
 
 
 class Best:
@@ -63,40 +67,55 @@ class Lists:
         )
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, best: Best) -> None:
-    """Merges the best of one block into best."""
+def search_block(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, best: Best, report: dict[int, list[int]] | None = None) -> None:
+    """Merges the best of one block into best. report: depth -> [queries that read on to it, candidates then in]."""
     n, k = len(lists.ids), best.scores.shape[1]
-    bounds = [(d, lists.bounds(d)) for share in DEPTHS if (d := int(n * share)) >= 1 and n > 4 * k]
+    depths = [n]
+    while depths[0] > FIRST_DEPTH:
+        depths.insert(0, depths[0] // 2)
+    bounds = {d: lists.bounds(d) for d in depths}
     for at in range(0, len(queries), QUERIES):
         rows = np.arange(at, min(at + QUERIES, len(queries)))
         q = queries[rows]
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
         alive = lists.ids[None, :] != query_ids[rows][:, None]
-        for _, ((up_plus, up_minus), (low_plus, low_minus)) in bounds:
-            upper = plus @ up_plus.T + minus @ up_minus.T
-            lower = np.where(alive, plus @ low_plus.T + minus @ low_minus.T, -np.inf)
-            kth = np.partition(np.concatenate([lower, best.scores[rows]], axis=1), -k, axis=1)[:, -k]
-            alive &= upper >= kth[:, None]
-            going = alive.any(axis=1)
-            rows, q, plus, minus, alive = rows[going], q[going], plus[going], minus[going], alive[going]
-            if not len(rows):
+        for depth in depths:
+            columns = np.flatnonzero(alive.any(axis=0))  # entries of all others are passed over
+            (up_plus, up_minus), (low_plus, low_minus) = bounds[depth]
+            upper = plus @ up_plus[columns].T + minus @ up_minus[columns].T
+            lower = np.where(alive[:, columns], plus @ low_plus[columns].T + minus @ low_minus[columns].T, -np.inf)
+            kth = _kth(np.concatenate([lower, best.scores[rows]], axis=1), k)
+            alive[:, columns] &= upper >= kth[:, None]
+            left = alive.sum(axis=1)
+            if report is not None:
+                seen = report.setdefault(depth, [0, 0])
+                seen[0] += len(rows)
+                seen[1] += int(left.sum())
+            going = left > 0  # a query that no candidate of the block can enter has done with it
+            rows, plus, minus, alive = rows[going], plus[going], minus[going], alive[going]
+            if not len(rows) or alive.sum(axis=1).max() <= k:
                 break
         if not len(rows):
             continue
-        # Read what is left of the lists for who is left.
+        # The lists to their end for who is in: lower and upper bounds meet in the score.
         columns = np.flatnonzero(alive.any(axis=0))
-        scores = np.where(alive[:, columns], q @ lists.vectors[columns].T, -np.inf)
+        (ends_plus, ends_minus), _ = bounds[n]
+        scores = np.where(alive[:, columns], plus @ ends_plus[columns].T + minus @ ends_minus[columns].T, -np.inf)
         ids = lists.ids[columns]
-        if len(columns) > 4 * k:  # the k best and all that tie with the last of them
-            kth = np.maximum(np.partition(scores, -k, axis=1)[:, -k], best.scores[rows, -1])
-        else:
-            kth = best.scores[rows, -1]
+        kth = np.maximum(_kth(scores, k), best.scores[rows, -1])  # the k best and all that tie with the last of them
         for i, row in enumerate(rows):
             keep = np.flatnonzero((scores[i] >= kth[i]) & (scores[i] > -np.inf))
             if len(keep):
                 best.add(row, scores[i, keep], ids[keep])
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, the least float where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
 def _search(query_ids, query_vectors, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = query_ids.value, query_vectors.value
@@ -133,30 +152,39 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * float(scale)).cast("long")))
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, wave: int = WAVE) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the highest inner product for each query, ties to smaller ids.
 
-    Both frames: vec_id long, vector array<long>, not null (see whole_numbers); a query's own id is no candidate.
-    Vectors of another length than a query's aren't compared with it. Rows that repeat a vec_id are candidates each;
-    of queries that repeat an id the one with the least vector counts. Scores are exact up to 2**53. Queries go in
-    waves of a bounded number, each broadcast once; no pair of rows is shuffled, but k rows a query and task.
+    Both frames: vec_id long, vector array<long>, neither null (see whole_numbers); a query's own id is no candidate.
+    Vectors of another length than a query's, long ones too, aren't compared with it. Rows that repeat a vec_id are
+    candidates each, in order of score; of queries that repeat an id the one with the least vector counts. Without
+    candidates or queries the result is empty. Other columns are dropped, whatever their names. Scores are exact up to
+    2**53. Queries go in waves of bounded size, each broadcast once and done before the next; no pair of rows is
+    shuffled, but k rows a query and task.
     """
     spark = candidates.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     shapes = {r["d"]: r["n"] for r in queries.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
-    found = None
+    found = []
     for width, count in sorted(shapes.items()):
-        waves = -(-count // wave)
+        waves = -(-count * width * 8 // wave_bytes)
         for number in range(waves):
-            some = queries.filter((F.size("vector") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == number))
-            ids, vectors = _arrays(some.orderBy("vec_id").toArrow().combine_chunks().to_batches()[0], width)
+            some = queries.filter((F.size("vector") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == number)).orderBy("vec_id").toArrow()
+            if not some.num_rows:
+                continue
+            ids, vectors = _arrays(some.combine_chunks().to_batches()[0], width)
             shared = [spark.sparkContext.broadcast(x) for x in (ids, vectors)]
             part = candidates.filter(F.size("vector") == width).select("vec_id", "vector").mapInArrow(_search(*shared, k), "query_id long, vec_id long, score long")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+            if waves > 1 or len(shapes) > 1:
+                part = table(part, "wave")
+                for x in shared:
+                    x.destroy()
+            found.append(part)
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
