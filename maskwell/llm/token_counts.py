@@ -1,4 +1,7 @@
-"""Token counts of whole texts; huge texts are encoded in overlapping chunks that are spliced at proven boundaries.
+"""Token counts of whole texts, encoded in overlapping chunks that are spliced at proven boundaries.
+
+Texts are cut into chunks of CHUNK bytes, so memory is bounded by chunks however long a text is; a text that fits into
+one needs no splice.
 
 A boundary is proven stable by the vocabulary: no piece has a word mark after another character, so no merge joins a
 character with a mark that follows it. Where a space follows anything else, the pieces to its left and to its right
@@ -17,8 +20,8 @@ from .common import read, slices, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Texts of more characters are split; characters of a chunk, and of the overlap that is tried first.
-HUGE, CHUNK, OVERLAP = 65_536, 32_768, 256
+#: Bytes of a chunk, and of the overlap that is tried first.
+CHUNK, OVERLAP = 4_096, 256
 MARK = "▁"
 
 
@@ -89,20 +92,19 @@ class Counter:
                 return x
         return None
 
-    def count(self, texts: list[str], huge: int = HUGE, chunk: int = CHUNK) -> list[int]:
-        short = [t if len(t) <= huge or not self.splits else "" for t in texts]
-        counts = [len(x) for x in self.pieces.encode(short, num_threads=1)]
-        return [
-            n if len(t) <= huge or not self.splits else self.count_chunked(t, chunk)
-            for n, t in zip(counts, texts, strict=True)
-        ]
+    def count(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+        """The pieces of each text. A model that proves no boundary has one chunk a text, whatever its length."""
+        one = [not self.splits or len(t) * 4 <= chunk or len(t.encode()) <= chunk for t in texts]
+        counts = [len(x) for x in self.pieces.encode([t if x else "" for t, x in zip(texts, one, strict=True)], num_threads=1)]
+        return [n if x else self.count_chunked(t, chunk) for t, x, n in zip(texts, one, counts, strict=True)]
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every text.
 
-    One scan, no shuffle. Null texts count as empty: no bytes, no tokens. Repeated rows are counted each by itself;
-    other columns are dropped.
+    One scan, no shuffle. Null texts count as empty: no bytes, no tokens. Long texts count whole, chunk by chunk.
+    Repeated rows, repeated ids and null ids are counted each by itself; other columns are dropped, whatever their
+    names. An empty table gives an empty result. A count equal to the limit isn't over it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
