@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checked_broadcast, table
 
 FOLDS = 5
 
@@ -29,4 +29,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: dic
         part = named.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return table(texts.join(F.broadcast(some), "doc_id"), "training")
+    some = table(some, "sample")
+    return table(texts.join(checked_broadcast(some, limit=sum(per_class.values())), "doc_id"), "training")

@@ -11,16 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, rolling, slices, split_words, word_hashes
+from .common import read, rolling, slices, split_words, table, word_hashes
 from .labelled import held_out, training_rows
 
-#: Words of a passage; passages of a training document, evenly spaced (scoring takes all).
-PASSAGE, TRAINING_PASSAGES = 64, 128
-#: Labelled rows that are learned from, at most, for each label; steps and sizes of the network.
-ROWS_PER_LABEL = {0: 3_000, 1: 6_000}
+#: Words of a passage.
+PASSAGE = 64
+#: Labelled rows that are learned from, at most, for each label, and the passages of all of them together: rows are
+#: taken whole, in order of a hash, while they fit. Steps and sizes of the network.
+ROWS_PER_LABEL, TRAINING_PASSAGES = {0: 3_000, 1: 6_000}, 160_000
 HIDDEN, GATES, STEPS, RATE = 16, 8, 400, 0.02
 THRESHOLD = 0.3
 
@@ -138,20 +139,23 @@ def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 64):
-        found = []
-        for text in part.column(1).to_pylist():
-            bag = passages(text)
-            if len(bag) > TRAINING_PASSAGES:
-                bag = bag[np.linspace(0, len(bag) - 1, TRAINING_PASSAGES).astype(int)]
-            found.append(bag.tobytes())
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["label", "bag"])
+        found = [passages(text) for text in part.column(2).to_pylist()]
+        bags = pa.array([bag.tobytes() for bag in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(b) for b in found], pa.int64()), bags], ["doc_id", "label", "n", "bag"])
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, rows_per_label: dict[int, int] = ROWS_PER_LABEL) -> AttentionModel:
-    """A model of labels.quality from a bounded number of rows outside the held-out fold, each weighed as in all such rows."""
+def learn_quality(docs: DataFrame, labels: DataFrame, rows_per_label: dict[int, int] = ROWS_PER_LABEL, passages_in_all: int = TRAINING_PASSAGES) -> AttentionModel:
+    """A model of labels.quality from a bounded number of rows outside the held-out fold, each weighed as in all such rows.
+
+    All passages of a row that is learned from count. Without rows of any label the model has one score for all.
+    """
     rows = training_rows(docs, labels, "quality", rows_per_label)
     known = labels.filter(~held_out(F.col("doc_id"))).groupBy(F.col("quality").cast("int").alias("label")).agg(F.count("*").alias("n"))
-    found = rows.select("label", "text").mapInArrow(_bags, "label int, bag binary").toArrow()
+    bags = table(rows.select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label int, n long, bag binary"), "bags")
+    # at most as many rows as rows_per_label has
+    line = Window.orderBy("turn", "doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = bags.withColumn("turn", F.xxhash64("doc_id")).withColumn("upto", F.sum("n").over(line))
+    found = turns.filter(F.col("upto") <= passages_in_all).orderBy("turn", "doc_id", "n").select("label", "bag").toArrow()
     y = found.column(0).to_numpy().astype(np.float64)
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found.column(1).to_pylist()]
     if not bags:  # nothing to learn from: one neutral score for all
@@ -164,8 +168,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows_per_label: dict[int,
 def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every text.
 
-    One scan, no shuffle; all passages of every text count. Null and empty texts are one empty passage. Repeated rows
-    are scored each by itself; other columns are dropped and never read.
+    One scan, no shuffle; all passages of every text count, however long it is. Null, empty and wordless texts are one
+    empty passage. Repeated rows, repeated ids and null ids (which are held out) are scored each by itself; other
+    columns are dropped, whatever their names, and never read. A score equal to the threshold is over it. An empty
+    table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
