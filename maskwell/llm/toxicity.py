@@ -30,6 +30,8 @@ SEED_WEIGHT = 2.0
 TOXIC_ROWS, OTHER_ROWS = 4_000, 8_000
 #: Lengths of word beginnings that may enter the lexicon; least log odds; times that terms may cover a document.
 BEGINNINGS, LEAST_ODDS, COVERS = range(4, 8), 2.0, 3
+#: Characters of folded text that hits are related to: a stretch of about a hundred words, of at least twenty.
+STRETCH, LEAST_STRETCH = 600, 120
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -97,32 +99,51 @@ class Lexicon:
         return self._found
 
     def measure(self, text: str | None) -> tuple[float, float]:
-        """log(1 + sum of weights of hits), and the same for hits in a hundred words."""
+        """The weight of hits for a stretch of text, as logarithms: in the stretch that has most, and in the whole text.
+
+        Neither grows with the length of a text: what is repeated with its surroundings counts the same.
+        """
         folded = fold(text)
         made = self.automaton()
         if not len(made):
             return 0.0, 0.0
-        total = self._total(made, folded)
+        hits = self._hits(made, folded)
         if not folded.isascii():  # accents may hide a plain word: what it adds without them counts too
             plain = without_accents(folded)
             if plain != folded:
-                total += max(0.0, self._total(made, plain, whole=True) - self._total(made, folded, whole=True))
-        if not total:
+                same = len(plain) == len(folded)  # else places have moved, and terms are matched by how often they are there
+                shown = Counter((h[0] if same else 0, h[3]) for h in self._hits(made, folded, whole=True))
+                for h in self._hits(made, plain, whole=True):
+                    at = (h[0] if same else 0, h[3])
+                    if shown[at]:
+                        shown[at] -= 1
+                    else:
+                        hits.append(h)
+        if not hits:
             return 0.0, 0.0
-        return math.log1p(total), math.log1p(100 * total / max(20, len(folded.split())))
+        hits.sort()
+        most, held, first = 0.0, 0.0, 0
+        for at, _, weight, _ in hits:
+            held += weight
+            while hits[first][0] <= at - STRETCH:
+                held -= hits[first][2]
+                first += 1
+            most = max(most, held)
+        size = max(LEAST_STRETCH, len(folded))
+        return math.log1p(STRETCH * most / min(size, STRETCH)), math.log1p(STRETCH * sum(h[2] for h in hits) / size)
 
     @staticmethod
-    def _total(made, folded: str, whole: bool = False) -> float:
-        """The weights of all hits outside exception phrases. whole: of whole words without accents only."""
+    def _hits(made, folded: str, whole: bool = False) -> list[tuple[int, int, float, str]]:
+        """Start, end, weight and term of all hits outside exception phrases. whole: of whole words without accents only."""
         hits, spared = [], []
         for end, (size, weight, exception) in made.iter(folded):
             if exception:
                 spared.append((end - size + 1, end))
             elif not whole or (folded[end] == " " and folded[end - size + 1 : end].isascii()):
-                hits.append((end - size + 1, end, weight))
+                hits.append((end - size + 1, end, weight, folded[end - size + 1 : end + 1]))
         if spared:
             hits = [h for h in hits if not any(a <= h[0] and h[1] <= b + 1 for a, b in spared)]
-        return sum(h[2] for h in hits)
+        return hits
 
     def score(self, text: str | None) -> float:
         a, b = self.measure(text)
@@ -272,8 +293,10 @@ def _benign_phrases(rows: DataFrame, lexicon: Lexicon, n_other: int) -> list[str
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every text.
 
-    One scan, no shuffle. Null and empty texts have no hits and get the score of such texts. Repeated rows are scored
-    each by itself; other columns are dropped and never read.
+    One scan, no shuffle. Null and empty texts have no hits and get the score of such texts; long texts are read whole,
+    and what they hold counts by stretch. Repeated rows, repeated ids and null ids (which are held out) are scored each
+    by itself; other columns are dropped, whatever their names, and never read. A score equal to the threshold is over
+    it. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
