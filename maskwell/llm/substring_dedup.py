@@ -12,7 +12,6 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from hashlib import sha256
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +29,18 @@ ROWS_OF_CELLS, CELL_BITS, SLICE_BITS = 2, 26, 20
 HELD, WINDOWS_PER_BUCKET = 700_000, 3_000_000
 
 
+#: Runs whose least hash is searched at a time; their places take 24 bits.
+RUNS = 1 << 20
+
+
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window the position of its anchor (which never falls), and the hash of each anchor run."""
     runs = mix(rolling(hashes, anchor), 7)
-    # least hash with leftmost position: 40 bits of hash over 24 of position relative to blocks of 2**23 runs
     span = window - anchor + 1
-    places = np.arange(len(runs), dtype=np.uint64)
-    if len(runs) >= 1 << 24:
-        return _anchors_of_long(runs, span)
-    least = (runs & ~np.uint64(0xFFFFFF)) | places
-    done = 1
-    while done < span:
-        step = min(done, span - done)
-        least = np.minimum(least[:-step], least[step:])
-        done += step
-    return (least & np.uint64(0xFFFFFF)).astype(np.int64), runs
-
-
-def _anchors_of_long(runs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """As above for texts of 16 million words and more, in overlapping blocks."""
-    found, block = [], 1 << 23
-    for at in range(0, len(runs) - span + 1, block):
-        part = runs[at : at + block + span - 1]
+    found = []
+    for at in range(0, len(runs) - span + 1, RUNS):
+        part = runs[at : at + RUNS + span - 1]
+        # least hash with leftmost position: 40 bits of hash over 24 of position in the part
         least = (part & ~np.uint64(0xFFFFFF)) | np.arange(len(part), dtype=np.uint64)
         done = 1
         while done < span:
@@ -187,7 +176,7 @@ def _candidates(window: int, anchor: int, sketch, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, size = sketch.value, [], 0
         for part in slices(batches):
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for key, tag, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 hashes = word_hashes(split_words(text))
                 if len(hashes) < window:
                     continue
@@ -197,8 +186,7 @@ def _candidates(window: int, anchor: int, sketch, buckets: int):
                 if flags.any():
                     places = np.flatnonzero(flags)
                     check = (mix(rolling(hashes, window, 1)[places], 5) >> np.uint64(32)).astype(np.uint32)
-                    # the tag tells apart texts that share a doc_id
-                    held.append((key, crc32(text.encode()), mix(rolling(hashes, window)[places], 3), check, places.astype(np.uint32)))
+                    held.append((key, tag, mix(rolling(hashes, window)[places], 3), check, places.astype(np.uint32)))
                     size += len(places)
             if size > HELD:
                 yield from emit(held)
@@ -219,11 +207,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _places_by_doc(doc: np.ndarray, places: np.ndarray, rows: list[int], tags: list[int]) -> list[tuple]:
-    """A row of bucket -1 for each text with places: its id, its tag and the places as packed uint32."""
+    """A row of bucket -1 for each text with places: its id, its tag and the places as packed uint32.
+
+    Rows that repeat id and text are one text, so a task answers such a text once, however often it is repeated.
+    """
     if not len(doc):
         return []
-    order = np.argsort(doc, kind="stable")
-    doc, places = doc[order], places[order]
+    texts: dict[tuple[int, int], int] = {}
+    doc = np.array([texts.setdefault(x, i) for i, x in enumerate(zip(rows, tags, strict=True))])[doc]
+    both = np.unique((doc.astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64))
+    doc, places = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
     cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
     return [(-1, rows[doc[lo]], tags[doc[lo]], None, None, places[lo:hi].tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -281,12 +274,13 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     bits, windows = _sketch(rows.select("text"), window, anchor)
     sketch = rows.sparkSession.sparkContext.broadcast(bits)
     buckets = max(48, windows // WINDOWS_PER_BUCKET)
-    found = rows.select("_row", "text").mapInArrow(_candidates(window, anchor, sketch, buckets), _PACKED)
+    found = rows.select("_row", "_tag", "text").mapInArrow(_candidates(window, anchor, sketch, buckets), _PACKED)
     # Each task sends a window once, so a window has as many entries as tasks at most, however many texts share it.
     # The local answers travel in groups of their own, spread by text.
     spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("row"), F.lit(buckets))).otherwise(F.col("bucket"))
     answers = found.withColumn("bucket", spread.cast("int")).groupBy("bucket").applyInArrow(_answer, _PACKED)
-    return answers.groupBy(F.col("row").alias("_row"), F.col("tag").alias("_tag")).agg(F.collect_list("data").alias("places"))
+    # A text has an answer from each task that holds it and each bucket that it asks, equal ones once.
+    return answers.groupBy(F.col("row").alias("_row"), F.col("tag").alias("_tag")).agg(F.collect_set("data").alias("places"))
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +293,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", with_text: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in carry, n_words, n_removed, kept_sha256 of every text; with_text adds the text that is left.
 
-    A word goes if a window of `window` words around it also starts anywhere else. Null and empty texts have no words;
-    texts of fewer words than a window lose none. What is left keeps its form if nothing goes, else it is its words
-    joined by one space. Repeated rows are texts of their own, so they lose what they share.
+    A word goes if a window of `window` words around it also starts anywhere else. Null, empty and wordless texts have
+    no words; texts of fewer words than a window lose none; long texts are judged whole. What is left keeps its form if
+    nothing goes, else it is its words joined by one space. Repeated rows are texts of their own, so they lose what
+    they share; texts under one id, or without one, are told apart by a hash. Windows have no order, so there are no
+    ties. An empty table gives an empty result. Columns of docs that aren't in carry are dropped and can't clash.
     """
     rows = tagged(docs, text, carry)
     places = repeated_windows(rows, window)
@@ -320,7 +316,7 @@ def tagged(docs: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
     return docs.select(
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
         row.alias("_row"),
-        F.crc32(F.coalesce(body, F.lit(""))).alias("_tag"),
+        F.xxhash64(body).alias("_tag"),
         body.alias("text"),
     )
 
