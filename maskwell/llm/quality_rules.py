@@ -94,8 +94,9 @@ _DDL = (
 def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all but text by default) with the measures of each text and the verdict `kept`.
 
-    One scan, no shuffle; memory holds a few texts at a time. Null and empty texts: zeros, base_failed. A column of
-    docs that is named like a measure gives way to it. Repeated rows are measured each by itself.
+    One scan, no shuffle; memory holds a few texts at a time. Null, empty and wordless texts: zeros, base_failed. Long
+    texts are measured whole. A column of docs that is named like a measure gives way to it. Repeated rows, repeated ids
+    and null ids are measured each by itself. A share equal to its limit passes. An empty table gives an empty result.
     """
     new = {f.name for f in SCHEMA}
     names = [c for c in (docs.columns if keep is None else keep) if c not in new and c != text]
