@@ -21,6 +21,8 @@ WORDS, SIMILARITY = 5, 75
 #: Signature of PLACES values (a power of two); BANDS of ROWS values each. A pair at 0.75 is missed in all bands with
 #: probability (1 - 0.75**4)**32 = 5e-6.
 PLACES, BANDS, ROWS = 128, 32, 4
+#: Sets of up to so many shingles have exact candidates besides: signatures of very few elements vary more than that.
+TINY = 16
 #: A pair whose sketches (one byte of each signature value) agree in fewer places is no link: at 0.75 the count has
 #: mean 96 and deviation under 5, so 72 lies 5 deviations below.
 SKETCH_LEAST = 72
@@ -29,6 +31,8 @@ WIDE, WIDE_LEAST = 512, 340
 #: Groups of candidates up to this size are compared in pairs; of larger ones what is unresolved is regrouped by rare
 #: shingles and compared in blocks of at most so many members, of at least so many for up to PARTS blocks.
 SMALL, BLOCK, LEAST_BLOCK, PARTS = 8, 1024, 128, 4
+#: Shingles that the members of a block have together, on average (4 bytes each).
+BLOCK_SHINGLES = 2_000_000
 #: Ids of candidates that are broadcast to fetch their texts without a shuffle of all texts.
 IDS = 1_000_000
 
@@ -64,8 +68,16 @@ def signature(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
     return least
 
 
+def prefix_length(n: int) -> int:
+    """Of n shingles in an order that all sets share, how many first ones two sets at the similarity can't all miss."""
+    return n + SIMILARITY * -n // 100 + 1
+
+
 def describe(text: str | None) -> tuple:
-    """n_shingles, 128 bits that identify the shingle set, band hashes, sketch; the last three null without words."""
+    """n_shingles, 128 bits that identify the shingle set, candidate keys, sketch; the last three null without words.
+
+    Keys are the hashes of bands; of tiny sets the first shingles in order of hash too, so that two linked ones share one.
+    """
     found = shingles(text)
     if not len(found):
         return 0, None, None, None, None
@@ -73,15 +85,17 @@ def describe(text: str | None) -> tuple:
     places = signature(found)
     bands = mix(np.add.reduce(mix(places.astype(np.uint64).reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(1 << 40)), axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
     key = np.array(whole, np.uint64).view(np.int64)
+    if len(found) <= TINY:
+        bands = np.concatenate([bands, mix(found[: prefix_length(len(found))], 905)])
     return len(found), int(key[0]), int(key[1]), bands.view(np.int64), _sketch_of(places)
 
 
 def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     for part in slices(batches):
-        rows = [describe(t) for t in part.column(1).to_pylist()]
+        rows = [describe(t) for t in part.column(2).to_pylist()]
         cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "tag", "n_shingles", "k1", "k2", "keys", "sketch"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,45 +113,65 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that are links, as a table. texts: doc_id, text of every candidate."""
-    pairs = table(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = table(ids, f"{name}-ids")
-    few = table(texts.join(checked_broadcast(ids, limit=IDS), "doc_id", "left_semi"), f"{name}-texts")
-    with_a = pairs.join(few.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(few.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = table(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_alike, "a long, b long"), f"{name}-links")
-    drop_tables(pairs, ids, few)
-    return links
-
-
-def _sketch_filter(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) whose sketches agree often enough."""
+def _sketch_filter(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs (a, b) whose sketches agree often enough, and those of two tiny sets."""
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("rep").alias(end), F.col("sketch").alias(f"s{end}")), end)
+        pairs = pairs.join(reps.select(F.col("rep").alias(end), F.col("sketch").alias(f"s{end}"), F.col("size").alias(f"n{end}")), end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             sides = [np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, PLACES) for i in (2, 3)]
-            keep = (sides[0] == sides[1]).sum(axis=1) >= SKETCH_LEAST
+            tiny = [part.column(i).to_numpy() <= TINY for i in (4, 5)]
+            keep = ((sides[0] == sides[1]).sum(axis=1) >= SKETCH_LEAST) | (tiny[0] & tiny[1])
             yield pa.RecordBatch.from_arrays(part.filter(pa.array(keep)).columns[:2], ["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 class _Search:
-    """The representatives, and the component of each so far."""
+    """The representatives (rep, doc_id, tag, size, sketch), and the component of each so far."""
 
     def __init__(self, reps: DataFrame, docs: DataFrame):
         self.reps, self.docs = reps, docs
         self.labels = table(reps.select("rep", F.col("rep").alias("component")), "labels")
 
-    def compare(self, pairs: DataFrame, name: str) -> bool:
-        """Unites the components of those pairs (a, b) that are links. Are there any?"""
-        links = _verified(_sketch_filter(pairs, self.reps), self.docs, name)
-        found = not links.isEmpty()
-        if found:
+    def texts(self, ids: DataFrame, name: str) -> DataFrame:
+        """rep, text of the representatives in ids (rep), one row each, as a table. Ids are broadcast up to IDS."""
+        ids = table(ids, f"{name}-ids")
+        n = ids.count()
+        at = self.reps.select("rep", F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).join(checked_broadcast(ids, n, IDS), "rep", "left_semi")
+        at = checked_broadcast(at, n, IDS)
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+        found = table(self.docs.join(at, same).select("rep", "text"), f"{name}-texts")
+        again = table(found.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select("rep"), f"{name}-again")
+        if not again.isEmpty():  # rows that repeat both id and text
+            some = checked_broadcast(again, limit=IDS)
+            once = found.join(some, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
+            whole = table(found.join(some, "rep", "left_anti").unionByName(once), f"{name}-texts")
+            drop_tables(found)
+            found = whole
+        drop_tables(ids, again)
+        return found
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame | None:
+        """The pairs (a, b) that are links by their full sets, as a table; None if there is nothing to compare."""
+        pairs = table(pairs, f"{name}-pairs")
+        if pairs.isEmpty():
+            drop_tables(pairs)
+            return None
+        few = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), name)
+        with_a = pairs.join(few.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+        both = with_a.join(few.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        links = table(both.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_alike, "a long, b long"), f"{name}-links")
+        drop_tables(pairs, few)
+        return links
+
+    def compare(self, pairs: DataFrame, name: str) -> None:
+        """Unites the components of those pairs (a, b) that are links."""
+        links = self.links(_sketch_filter(pairs, self.reps), name)
+        if links is None:
+            return
+        if not links.isEmpty():
             ends = links
             for end in ("a", "b"):
                 at = self.labels.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}"))
@@ -148,7 +182,6 @@ class _Search:
             drop_tables(self.labels, roots)
             self.labels = labels
         drop_tables(links)
-        return found
 
     def labelled(self, groups: DataFrame) -> DataFrame:
         """groups with the components of each member and of its group's first one."""
@@ -156,7 +189,7 @@ class _Search:
         return groups.join(self.labels, "rep").join(first, "first")
 
     def firsts(self, groups: DataFrame) -> None:
-        """Compares members of each group (key, rep, first, n) with its first one.
+        """Compares members of each group (key, rep, first, n, w, size) with its first one.
 
         First each representative with the first member of one group, then of each group in another component.
         """
@@ -176,12 +209,18 @@ class _Search:
     def rest_in_blocks(self, groups: DataFrame, sets: DataFrame) -> None:
         """The same for groups of any size: blocks of members meet, and only pairs that may be links come out.
 
-        Groups that overlap are compared as one family where that is less work. Sketches meet first, then wide sketches of members that have a partner with a similar sketch, then full sets
-        of those that still have one. sets: rep, wide, data (see _short_sets).
+        Groups that overlap are compared as one family where that is less work. Sketches meet first, then wide
+        sketches of members that have a partner with a similar sketch, then full sets of those that still have one;
+        tiny sets go on without. sets: rep, wide, data (see _short_sets).
         """
+        groups = table(groups, "large")
+        if groups.isEmpty():
+            drop_tables(groups)
+            return
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        at = self.labelled(_families(groups)).withColumn("blocks", _block_count(F.col("n"))).withColumn("own", own)
-        at = table(at.withColumn("minor", F.col("component") != F.col("first_component")), "at")
+        at = self.labelled(_families(groups)).withColumn("blocks", _block_count(F.col("n"), F.col("w"))).withColumn("own", own)
+        at = table(at.withColumn("minor", F.col("component") != F.col("first_component")).withColumn("tiny", F.col("size") <= TINY), "at")
+        drop_tables(groups)
         for sketches, least in ((self.reps.select("rep", F.col("sketch").alias("data")), SKETCH_LEAST), (sets.select("rep", F.col("wide").alias("data")), WIDE_LEAST)):
             near = _blocks(at, sketches).applyInArrow(_similar_in_block(least), "key long, rep long").distinct()
             some = table(at.join(table(near, "near"), ["key", "rep"], "left_semi"), "at")
@@ -192,29 +231,32 @@ class _Search:
         drop_tables(at)
 
 
-def _block_count(n: Column) -> Column:
-    return F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(n / LEAST_BLOCK), F.lit(PARTS))).cast("int")
+def _block_count(n: Column, w: Column) -> Column:
+    """Blocks of a group of n members with w shingles in all."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES), F.least(F.ceil(n / LEAST_BLOCK), F.lit(PARTS))).cast("int")
 
 
 def _families(groups: DataFrame) -> DataFrame:
-    """groups (key, rep, first, n), with those that hang together by common members made one group where that is less.
+    """groups (key, rep, first, n, w, size), with those that hang together by common members made one group where that is less.
 
     A member is in one group for each of its rare shingles, and most of these have nearly the same members, so a family
     is sent and compared once in place of dozens of times. A family keeps its groups if, as one, more members would be
     sent to blocks or more pairs would meet, as in a large one that a few members hold together. A family holds all
     pairs of its groups.
     """
-    groups = table(groups, "of-families")
     family = components(groups.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    family = table(family.join(groups.select(F.col("rep").alias("id"), "size").distinct(), "id"), "family")
     n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    by_key = groups.filter("rep = first").join(family, F.col("first") == F.col("id"))
-    by_key = by_key.groupBy("component").agg(F.sum(n * _block_count(n)).alias("sent"), F.sum(n * n).alias("met"))
-    sizes = family.groupBy("component").agg(F.count("*").alias("m"))
-    less = by_key.join(sizes, "component").filter((m * _block_count(m) <= F.col("sent")) & (m * m <= F.col("met")))
-    less = table(less.select("component", "m"), "families")
-    whole = family.join(less, "component").select(F.xxhash64("component").alias("key"), F.col("id").alias("rep"), F.col("component").alias("first"), F.col("m").alias("n"))
-    one = table(family.join(less, "component", "left_semi").select(F.col("id").alias("rep")), "of-whole")
-    return whole.unionByName(groups.join(one, "rep", "left_anti").select("key", "rep", "first", "n"))
+    by_key = groups.filter("rep = first").join(family.select("id", "component"), F.col("first") == F.col("id"))
+    by_key = by_key.groupBy("component").agg(F.sum(n * _block_count(n, F.col("w"))).alias("sent"), F.sum(n * n).alias("met"))
+    sizes = family.groupBy("component").agg(F.count("*").alias("m"), F.sum("size").alias("v"))
+    less = by_key.join(sizes, "component").filter((m * _block_count(m, F.col("v")) <= F.col("sent")) & (m * m <= F.col("met")))
+    less = checked_broadcast(table(less.select("component", "m", "v"), "families"))
+    whole = family.join(less, "component").select(
+        F.xxhash64("component").alias("key"), F.col("id").alias("rep"), F.col("component").alias("first"), F.col("m").alias("n"), F.col("v").alias("w"), "size"
+    )
+    one = checked_broadcast(table(family.join(less, "component", "left_semi").select(F.col("id").alias("rep")), "of-whole"), limit=IDS)
+    return whole.unionByName(groups.join(one, "rep", "left_anti").select("key", "rep", "first", "n", "w", "size"))
 
 
 def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
@@ -222,9 +264,10 @@ def _blocks(at: DataFrame, data: DataFrame) -> GroupedData:
 
     If i = j a member is sent once (side 2).
     """
-    at = at.join(at.filter("minor").select("key").distinct(), "key", "left_semi").join(data, "rep")
+    some = checked_broadcast(table(at.filter("minor").select("key").distinct(), "minor"))
+    at = at.join(some, "key", "left_semi").join(data, "rep")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    same = ["key", "rep", "component", "minor", "data"]
+    same = ["key", "rep", "component", "minor", "tiny", "data"]
     mine = at.filter("minor AND blocks > 1").select("own", every.alias("j"), F.lit(0).alias("side"), *same).filter("j <> own")
     theirs = at.select("own", every.alias("i"), *same)
     theirs = theirs.select(F.col("i"), F.col("own").alias("j"), F.when(F.col("i") == F.col("own"), 2).otherwise(1).alias("side"), *same)
@@ -237,7 +280,7 @@ def _sketch_of(places: np.ndarray) -> bytes:
 
 
 def _short_sets(texts: DataFrame) -> DataFrame:
-    """rep, wide (a sketch of WIDE places), data (32 bits of each shingle of a text, packed). texts: doc_id, text."""
+    """rep, wide (a sketch of WIDE places), data (32 bits of each shingle of a text, packed). texts: rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
@@ -246,27 +289,28 @@ def _short_sets(texts: DataFrame) -> DataFrame:
             data = [np.unique((f >> np.uint64(32)).astype(np.uint32)).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(wide, pa.binary()), pa.array(data, pa.binary())], ["rep", "wide", "data"])
 
-    return table(texts.select("doc_id", "text").mapInArrow(run, "rep long, wide binary, data binary"), "short")
+    return table(texts.select("rep", "text").mapInArrow(run, "rep long, wide binary, data binary"), "short")
 
 
-def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], int]:
-    """Which members ask, which are asked, their ids, components and data, and the key of their group."""
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], int]:
+    """Which members ask, which are asked, their ids, components, which are tiny, data, and the key of their group."""
     held = pa.Table.from_batches(list(batches))
-    side, rep, component, minor = (np.array(held.column(c).to_pylist()) for c in ("side", "rep", "component", "minor"))
+    side, rep, component, minor, tiny = (np.array(held.column(c).to_pylist()) for c in ("side", "rep", "component", "minor", "tiny"))
     left, right = np.flatnonzero((side == 0) | ((side == 2) & minor)), np.flatnonzero(side >= 1)
-    return left, right, rep, component, held.column("data").to_pylist(), held.column("key")[0].as_py()
+    return left, right, rep, component, tiny, held.column("data").to_pylist(), held.column("key")[0].as_py()
 
 
 def _similar_in_block(least: int):
-    """Members with a partner in another component whose sketch agrees in so many places."""
+    """Members with a partner in another component whose sketch agrees in so many places, or that is tiny as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, rep, component, data, key = _sides(batches)
+        left, right, rep, component, tiny, data, key = _sides(batches)
         sketches = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
         found = np.zeros(len(rep), np.bool_)
         for lo in range(0, len(left), 16):
             some = left[lo : lo + 16]
             near = (sketches[some][:, None, :] == sketches[right][None, :, :]).sum(axis=2) >= least
+            near |= tiny[some][:, None] & tiny[right][None, :]
             near &= component[some][:, None] != component[right][None, :]
             found[some[near.any(axis=1)]] = True
             found[right[near.any(axis=0)]] = True
@@ -278,7 +322,7 @@ def _similar_in_block(least: int):
 
 def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs in two components whose short sets nearly reach the similarity; counted by products of matrices."""
-    left, right, rep, component, data, _ = _sides(batches)
+    left, right, rep, component, _, data, _ = _sides(batches)
     sets = [np.frombuffer(d, np.uint32) for d in data]
     sizes = np.array([len(x) for x in sets])
     words, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -308,19 +352,22 @@ def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _grouped(members: DataFrame, name: str) -> DataFrame:
-    """(key, rep, first, n) of the keys that several representatives have, as a table. members: key, rep."""
-    shared = members.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    """(key, rep, first, n, w, size) of the keys that several representatives have, as a table: n members, w shingles.
+
+    members: key, rep, size (shingles of the representative).
+    """
+    shared = members.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("n"), F.sum("size").alias("w")).filter("n > 1")
     shared = table(shared, f"{name}-keys")  # so that the join has two shuffles, of which Spark can split a hot one
-    groups = table(members.join(shared, "key").select("key", "rep", "first", "n"), name)
+    groups = table(members.join(checked_broadcast(shared), "key").select("key", "rep", "first", "n", "w", "size"), name)
     drop_tables(shared)
     return groups
 
 
 def _rare_shingles(texts: DataFrame) -> DataFrame:
-    """(key, rep): the rarest shingles of each text, so many that two texts at the similarity share one of them.
+    """(key, rep, size): the rarest shingles of each text, so many that two texts at the similarity share one of them.
 
     Of n shingles the n - ceil(0.75 n) + 1 rarest, in one order for all: by how many of these texts have them, then by
-    hash. texts: doc_id, text.
+    hash. texts: rep, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,58 +379,77 @@ def _rare_shingles(texts: DataFrame) -> DataFrame:
                 [pa.array(rep), pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)), pa.array(size, pa.int64())], ["rep", "key", "size"]
             )
 
-    every = table(texts.select("doc_id", "text").mapInArrow(run, "rep long, key long, size long"), "shingles")
+    every = table(texts.select("rep", "text").mapInArrow(run, "rep long, key long, size long"), "shingles")
     common = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     # shingles of one text alone are rarest and group nothing: they only take places of the text's prefix
     known = every.join(table(common, "common"), "key")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "key")) + F.col("size") - F.count("*").over(Window.partitionBy("rep"))
     prefix = F.col("size") - F.ceil(F.col("size") * SIMILARITY / 100) + 1
-    return known.withColumn("place", place).filter(F.col("place") <= prefix).select("key", "rep")
+    return known.withColumn("place", place).filter(F.col("place") <= prefix).select("key", "rep", "size")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (is it that one).
+def tagged(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id as long, tag (a hash of the text) and text: an id with a tag names a text even where ids repeat."""
+    body = F.col(text).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
+
 
-    Documents with one shingle set are a class, represented by its smallest doc_id. Representatives that share a band
-    are candidates: all are compared with the smallest of their group, then, in small groups, those that aren't in its
-    component with the others. Members of large groups that stay unresolved (many texts that are alike, but too little)
-    are regrouped by their rarest shingles, of which every two linked texts share one, and are compared in blocks, groups
-    with common members as one family where that is less work. So no two candidates in different components stay uncompared, and no group expands into pairs.
-    Null, empty and wordless texts: no shingles, linked with nothing. Rows that repeat a doc_id share its links.
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shingle set of every row, and the component of every class of equal sets, as tables.
+
+    docs: see tagged(). First: doc_id, tag, n_shingles, k1, k2, one row for each of docs. Second: k1, k2, component (a
+    number), doc_id (the smallest of the class).
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = table(docs.mapInArrow(_describe_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"), "sets")
+    sets = table(docs.mapInArrow(_describe_batches, "doc_id long, tag long, n_shingles long, k1 long, k2 long, keys array<long>, sketch binary"), "sets")
     some = sets.filter("n_shingles > 0")
-    reps = table(
-        some.groupBy("k1", "k2").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("rep", "k1", "k2", "s.*"),
-        "reps",
-    )
+    smallest = F.struct(F.isnull("doc_id"), "doc_id", "tag")
+    reps = some.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "tag", "keys", "sketch"), smallest).alias("s"), F.first("n_shingles").alias("size"))
+    reps = table(reps.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "size", "s.*"), "reps")
     search = _Search(reps, docs)
     # a band's hash has its number mixed in, so it is the key alone
-    groups = _grouped(reps.select("rep", F.explode("bands").alias("key")), "groups")
+    groups = _grouped(reps.select("rep", F.explode("keys").alias("key"), "size"), "groups")
     search.firsts(groups)
     many = groups.filter("n > 2")
     search.rest_in_pairs(many.filter(F.col("n") <= SMALL))
     many = table(many.filter(F.col("n") > SMALL), "many")
-    at = search.labelled(many)
-    keys = at.filter("component <> first_component").select("key").distinct()
-    rest = table(many.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "rest")
-    drop_tables(groups)
+    keys = table(search.labelled(many).filter("component <> first_component").select("key").distinct(), "keys")
+    rest = table(many.join(checked_broadcast(keys), "key", "left_semi").select("rep").distinct(), "rest")
     if not rest.isEmpty():
-        texts = table(docs.join(checked_broadcast(rest, limit=IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        texts = search.texts(rest, "rest")
         rare = _grouped(_rare_shingles(texts), "rare")
         search.firsts(rare)
         search.rest_in_pairs(rare.filter(F.col("n") > 2).filter(F.col("n") <= SMALL))
         search.rest_in_blocks(rare.filter(F.col("n") > SMALL), _short_sets(texts))
         drop_tables(rare, texts)
-    named = reps.join(search.labels, "rep").select("k1", "k2", F.col("component").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"),
-    )
+    classes = table(reps.join(search.labels, "rep").select("k1", "k2", "component", "doc_id"), "classes")
+    rows = table(sets.select("doc_id", "tag", "n_shingles", "k1", "k2"), "rows")
+    drop_tables(groups, many, keys, rest, sets, reps, search.labels)
+    return rows, classes
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (is it that one).
+
+    Documents with one shingle set are a class, represented by its smallest doc_id. Representatives that share a band,
+    or tiny ones that share one of their first shingles in order of hash, are candidates: all are compared with the
+    first of their group, then, in small groups, those that aren't in its component with the others. Members of large
+    groups that stay unresolved (many texts that are alike, but too little) are regrouped by their rarest shingles, of
+    which every two linked texts share one, and are compared in blocks, groups with common members as one family where
+    that is less work. So no two candidates in different components stay uncompared, and no group expands into pairs.
+
+    One row for each row of docs. Null, empty and wordless texts: no shingles, linked with nothing. Long texts count
+    whole. Rows that repeat a doc_id are judged each by its own text; null ids are linked by their texts too and give
+    no component_id: it is null where no row of the component has an id. Repeated rows are equal texts. Ties don't
+    matter, as the smallest id names a component. An empty table gives an empty result. Other columns are dropped,
+    whatever their names.
+    """
+    rows, classes = near_classes(tagged(docs, text))
+    # only components of several classes are named anew
+    several = classes.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("component", "least")
+    named = classes.join(checked_broadcast(table(several, "several")), "component", "left")
+    named = named.select("k1", "k2", F.coalesce("least", "doc_id").alias("component_id"))
+    out = rows.join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
