@@ -20,6 +20,8 @@ from .common import WORD, bucket_count, checked_broadcast, read, running, table,
 WEIGHTS, REPEATS = (5.0, 2.0, 1.0), 3
 #: Expected copies grow by this share for each doubling of a document's length, before targets are met.
 LENGTH_SLOPE = 0.05
+#: Targets are floating-point numbers; a document fits if it goes beyond what is left by no more than their rounding.
+ROUNDING = 1e-6
 
 
 def water_fill(groups: DataFrame, by: list[str], cap: str, weight: str, total: str, out: str) -> DataFrame:
@@ -37,8 +39,8 @@ def water_fill(groups: DataFrame, by: list[str], cap: str, weight: str, total: s
     return found.withColumn(out, F.least(F.col(cap), F.coalesce(level * F.col(weight), F.col(cap)))).drop("_ratio", "_level")
 
 
-def _odds(p: Column) -> Column:
-    return p / (1.0 - p)
+def _log_odds(p: Column) -> Column:
+    return F.log(p / (1.0 - p))
 
 
 def _fill(docs: DataFrame, gaps: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -50,9 +52,9 @@ def _fill(docs: DataFrame, gaps: DataFrame, order: list[str]) -> tuple[DataFrame
     """
     rounds = [docs.select("row", F.lit(0).cast("long").alias("_in")).limit(0)]
     while True:
-        fits = docs.join(checked_broadcast(gaps), "sk").filter((F.col("left") > 0) & (F.col("size") <= F.col("gap")))
+        fits = docs.join(checked_broadcast(gaps), "sk").filter((F.col("left") > 0) & (F.col("size") <= F.col("gap") + ROUNDING))
         at = running(fits, "sk", "bucket", order, F.col("size"), "before")
-        at = table(at.withColumn("in", (F.col("before") + F.col("size") <= F.col("gap")).cast("int")), "before")
+        at = table(at.withColumn("in", (F.col("before") + F.col("size") <= F.col("gap") + ROUNDING).cast("int")), "before")
         if at.isEmpty():
             return table(reduce(DataFrame.unionByName, rounds).groupBy("row").agg(F.sum("_in").alias("_in")), "filled"), gaps
         took = at.filter("in = 1")
@@ -76,9 +78,11 @@ def mix_sources(
     """key, source, the columns in carry, size, source_size, target, copies and taken (words) of every row of docs.
 
     Sources in code point order, null last, weigh `weights` repeating and share `share` of all sizes; a target stops
-    at `repeats` times its source's size and the excess is shared again. Documents without words take part with no
-    words. Repeated rows are documents of their own; rows that repeat a key share its random number and are told
-    apart by size. An empty table gives an empty result. The same rows, seed and weights give the same mix.
+    at `repeats` times its source's size and the excess is shared again. Null, empty and wordless texts take part with
+    no words; long texts count whole. Repeated rows are documents of their own: rows that repeat a key and a size draw
+    one random number and are told apart by their place in the input; rows without a key draw by that place. Equal
+    ranks go by size, key and place. An empty table gives an empty result. Columns of docs that aren't named are
+    dropped and can't clash with those made here. The same rows, seed and weights give the same mix.
     """
     # A column of its own for each use: names of docs can't clash with those made here.
     named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("~"))  # null last: "~" > "s..."
@@ -90,9 +94,10 @@ def mix_sources(
             F.col(source).alias("_source"),
             named.alias("sk"),
             words.alias("size"),
-            F.coalesce(uniform(F.col(key), seed), F.lit(0.5)).alias("u"),
             F.monotonically_increasing_id().alias("row"),
-        ).withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int")).otherwise(-1)),
+        )
+        .withColumn("u", F.when(F.col("_key").isNull(), uniform(F.col("row"), seed + 1)).otherwise(uniform(F.hash("_key", "size"), seed, F.col("_key"))))
+        .withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size")).cast("int")).otherwise(-1)),
         "sizes",
     )
     classes = base.groupBy("sk", "class").agg(F.count("*").alias("n"), F.sum("size").cast("double").alias("class_size"))
@@ -117,19 +122,21 @@ def mix_sources(
     expected = F.col("class_target") / F.col("class_size")
     some = some.withColumn("whole", F.floor(expected + 1e-9)).withColumn("part", F.greatest(expected - F.col("whole"), F.lit(0.0)))
     some = some.withColumn("rest", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("sk")))
-    # the part of all words that the rest is centres the ranks of a source; it doesn't change their order
-    some = some.withColumn("centre", F.avg(F.when(F.col("part") > 1e-9, F.col("part"))).over(Window.partitionBy("sk")))
-    plan = table(some.select("sk", "class", "whole", "part", "rest", "centre"), "plan")
+    open_part = (F.col("part") > 1e-9) & (F.col("part") < 1)
+    some = some.withColumn("pull", F.when(open_part, _log_odds(F.col("part"))))
+    # how the ranks of a source are distributed: one logistic curve for each of its length classes, a few dozen at most
+    curves = F.collect_list(F.when(open_part, F.struct("n", "pull"))).over(Window.partitionBy("sk"))
+    plan = table(some.withColumn("curves", curves).select("sk", "class", "whole", "pull", "rest", "curves"), "plan")
     plan_rows = plan.count()
 
-    open_part = (F.col("part") > 1e-9) & (F.col("part") < 1)
-    rank = _odds(F.col("u")) / _odds(F.col("part"))
-    scaled = rank * _odds(F.col("centre"))
+    # Pareto order: the odds of the random number over those of inclusion, here as logarithms.
+    rank = _log_odds(F.col("u")) - F.col("pull")
+    below = F.aggregate("curves", F.lit(0.0), lambda s, c: s + c["n"] / (1 + F.exp(-F.col("rank") - c["pull"])))
+    among = F.aggregate("curves", F.lit(0.0), lambda s, c: s + c["n"])
     buckets = bucket_count(n_rows)
-    ranked = base.drop(*[f"_c{i}" for i in range(len(carry))]).join(checked_broadcast(plan, plan_rows), ["sk", "class"], "left").withColumn(
-        "rank", F.when(open_part, scaled / (1 + scaled))
-    )
-    ranked = table(ranked.withColumn("bucket", F.floor(F.col("rank") * buckets).cast("int")), "ranked")
+    ranked = base.drop(*[f"_c{i}" for i in range(len(carry))]).join(checked_broadcast(plan, plan_rows), ["sk", "class"], "left").withColumn("rank", rank)
+    # a bucket is a range of ranks with as many documents as any other of its source
+    ranked = table(ranked.withColumn("bucket", F.when(F.col("rank").isNotNull(), F.floor(below / among * buckets)).cast("int")).drop("curves"), "ranked")
     gaps = table(plan.groupBy("sk").agg(F.first("rest").alias("gap")), "gaps")
     columns = ["sk", "size", "row", "_key", "bucket", "left"]
     eligible = ranked.filter("rank IS NOT NULL").withColumn("left", F.lit(1)).select(*columns, "rank")
