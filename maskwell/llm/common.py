@@ -83,7 +83,7 @@ def uniform(key: Column, seed: int, *more: Column) -> Column:
 
 
 def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
-    return max(64, rows // per_bucket)
+    return max(1024, rows // per_bucket)
 
 
 def running(df: DataFrame, key: str, bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
