@@ -2,8 +2,10 @@
 
 Documents start in the shard that a hash of their id names. Those of one group (equal texts) that start together are
 a piece and move together. In each round a group's pieces ask for the shard where most of the group is; a shard admits
-the largest gains first while its quota lasts. A group too large for half a shard gathers in several. In the end each
-shard holds its quota of rows exactly: what linked documents leave free is filled by others in line.
+the largest gains first while its quota lasts. A group too large for half a shard gathers in several. Rounds go on
+until no piece moves: each move goes to where more of the group is, so the sum of squares of the masses rises with
+every one and the rounds end. Pieces that no quota admits stay apart. In the end each shard holds its quota of rows
+exactly: what linked documents leave free is filled by others in line.
 Built of DataFrame operations alone; groups are seen as at most one row a shard.
 """
 
@@ -12,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, drop_tables, read, running, table
+from .common import drop_tables, read, running, table
 
-SHARDS, ROUNDS, SEED = 40, 6, 77
+SHARDS, SEED = 40, 77
 GROUP = ["h", "crc", "size"]
+#: Rows of a bucket: ROWS, or more where there would be over BUCKETS of them.
+ROWS, BUCKETS = 64, 200_000
 
 
-def _round(pieces: DataFrame, quota: int, shards: int) -> DataFrame:
-    """pieces after one round of moves. pieces: GROUP, start, at (its shard now), n (documents)."""
+def _round(pieces: DataFrame, quota: int, shards: int) -> DataFrame | None:
+    """pieces after one round of moves, None if none moves. pieces: GROUP, start, at (its shard now), n (documents)."""
     here = Window.partitionBy(*GROUP, "at")
     seen = pieces.withColumn("mass", F.sum("n").over(here))
     line = Window.partitionBy(*GROUP).orderBy(F.desc("mass"), "at", "start")
@@ -34,17 +38,24 @@ def _round(pieces: DataFrame, quota: int, shards: int) -> DataFrame:
     free = F.element_at(F.array(*[F.lit(quota - load.get(s, 0)).cast("long") for s in range(shards)]), F.col("wish") + 1)
     asks = seen.filter("wish <> at").withColumn("turn", (64 - F.length(F.bin("gain"))) * 64 + F.pmod("h", F.lit(64)))
     asks = running(table(asks.select(*GROUP, "start", "wish", "gain", "n", "turn"), "asks"), "wish", "turn", [F.desc("gain"), *GROUP, "start"], F.col("n"), "before")
-    moves = asks.filter(F.col("before") + F.col("n") <= free).select(*GROUP, "start", F.col("wish").alias("to"))
+    moves = table(asks.filter(F.col("before") + F.col("n") <= free).select(*GROUP, "start", F.col("wish").alias("to")), "moves")
+    if moves.isEmpty():
+        drop_tables(seen, moves)
+        return None
     moved = seen.join(moves, [*GROUP, "start"], "left").select(*GROUP, "start", F.coalesce("to", "at").alias("at"), "n")
-    return table(moved, "pieces")
+    moved = table(moved, "pieces")
+    drop_tables(seen, moves)
+    return moved
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     The law is `rows`: the numbers of rows of two shards differ by one at most. slot counts a shard's rows from 0.
-    Null texts have no bytes, the checksum of an empty text and no group; empty texts are a group. Repeated rows are
-    documents of their own and linked, since their texts are equal. An empty table gives an empty result.
+    Null texts have no bytes, the checksum of an empty text and no group; empty texts are a group. Long texts count
+    whole. Repeated rows are documents of their own and linked, since their texts are equal; null and repeated ids are
+    allowed, and rows that tie in a line stand in the order of the input. An empty table gives an empty result. Other
+    columns of docs are dropped, whatever their names.
     """
     body = F.col(text).cast("string")
     whole = F.coalesce(body, F.lit(""))
@@ -64,20 +75,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     counts = base.filter("h IS NOT NULL").groupBy(*GROUP, "start").agg(F.count("*").alias("n"))
     pieces = counts.withColumn("all", F.sum("n").over(Window.partitionBy(*GROUP))).filter("all > 1")
     pieces = table(pieces.select(*GROUP, "start", F.col("start").alias("at"), "n"), "pieces")
-    for _ in range(rounds):
-        moved = _round(pieces, quota, shards)
-        changed = moved.join(pieces.withColumnRenamed("at", "was"), [*GROUP, "start"]).filter("at <> was").isEmpty()
+    while (moved := _round(pieces, quota, shards)) is not None:
         drop_tables(pieces)
         pieces = moved
-        if changed:
-            break
 
-    buckets = bucket_count(total // shards)
-    placed = base.join(pieces.select(*GROUP, "start", "at"), [*GROUP, "start"], "left")
+    # A bucket is a range of hashes of groups; the copies of a large group are dealt over buckets of their own in it.
+    per_bucket = max(ROWS, total // BUCKETS)
+    buckets = max(1, quota // per_bucket)
+    here = pieces.groupBy(*GROUP, "at").agg(F.sum("n").alias("here"))
+    placed = base.join(pieces.join(here, [*GROUP, "at"]).select(*GROUP, "start", "at", "here"), [*GROUP, "start"], "left")
+    salt = F.pmod(F.xxhash64("row"), F.ceil(F.col("here") / per_bucket))
     # Linked documents stand in their shard's line group by group, others (shard -1) in a line of their own.
-    placed = placed.select(
-        "doc_id", "size", "crc", "row", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("h", "row").alias("h")
-    ).withColumn("bucket", F.when(F.col("at") >= 0, F.shiftrightunsigned("h", 32) % buckets).otherwise(F.pmod(F.xxhash64("row"), F.lit(bucket_count(total)))))
+    linked = F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)) * BUCKETS * 8 + F.least(salt, F.lit(BUCKETS * 8 - 1))
+    alone = F.pmod(F.xxhash64("row"), F.lit(max(1, total // per_bucket)))
+    placed = placed.select("doc_id", "size", "crc", "row", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("h", "row").alias("h"), F.when(F.col("at").isNotNull(), linked).otherwise(alone).alias("bucket"))
     placed = table(placed.withColumn("bucket", F.col("bucket").cast("long")), "placed")
     lines = table(running(placed, "at", "bucket", ["h", "row"], F.lit(1), "place"), "lines")
 
