@@ -162,7 +162,7 @@ def test_token_counts_in_chunks(docs, empty):
     want = [len(x) for x in counter.pieces.encode(texts)]
     for chunk in (60, 400):
         assert [counter.count_chunked(t, chunk, 8) for t in texts] == want
-    assert counter.count(texts, huge=100, chunk=100) == want
+    assert counter.count(texts, chunk=100) == counter.count(texts) == want
     rows = {r["doc_id"]: r for r in token_counts.count_tokens(docs).collect()}
     assert rows[76]["n_bytes"] == len((corpus()[76][1] or "").encode())
     assert token_counts.count_tokens(empty).count() == 0
