@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from .functions.rules import COMPOUND_ORGS, RULES, Rule
+from .functions.lexicon import ORGS, PUBLIC_COMPANIES
+from .functions.rules import RULES, Rule
 
 
 @dataclass(frozen=True)
@@ -21,16 +22,19 @@ class RedactConfig:
     confidence: float = 0.5
     extra_orgs: tuple[str, ...] = ()
     extra_whitelist: tuple[str, ...] = ()
+    public_companies: tuple[str, ...] = PUBLIC_COMPANIES
 
     @property
     def rules(self) -> tuple[Rule, ...]:
+        """The rules of the layers that are on, in their order."""
         layers = {"L1b": self.gazetteer, "L1.5": self.regex, "L3": self.regex, "L3.5": self.regex, "L5": self.contextual}
         return tuple(r for r in RULES if layers[r.layer])
 
     @property
     def orgs(self) -> tuple[str, ...]:
-        return COMPOUND_ORGS + self.extra_orgs if self.gazetteer else ()
+        return tuple(dict.fromkeys(ORGS + self.extra_orgs)) if self.gazetteer else ()
 
 
 def strict() -> RedactConfig:
+    """Takes less certain entities of a recogniser too."""
     return RedactConfig(org_confidence=0.5, confidence=0.3)

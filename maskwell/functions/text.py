@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import BY_NAME, PHANTOMS, PUBLIC_COMPANIES, SAFE_DOMAINS, Rule
+from .lexicon import PHANTOMS, PUBLIC_COMPANIES, SAFE_DOMAINS
+from .rules import BY_NAME, Rule
 
 TOKEN = "\\[[A-Z]+_\\d+\\]"
 #: One entry of a token map, in order of detection.
@@ -19,17 +20,30 @@ def dedup_key(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, "[.,;:!?]+$", ""))
 
 
-def may_match(text: Column, rule: Rule) -> Column:
-    """A cheap test that a text can match: does it hold a character and a part that the rule needs?"""
+#: What a letter, digit or mark next to a value would make part of its word.
+WORD_CHAR = "[\\p{L}\\p{N}\\p{M}_]"
+
+
+def quoted(value: str) -> str:
+    """A pattern, in any engine, that matches a value alone."""
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in value)
+
+
+def one_of(value: Column, words: tuple[str, ...]) -> Column:
+    """Is a value one of the words? One pattern, where isin() would send each word to the JVM by itself."""
+    return value.rlike("^(?:" + "|".join(map(quoted, words)) + ")$") & ~value.endswith("\n")
+
+
+def may_match(text: Column, rule: Rule, low: Column | None = None) -> Column:
+    """A cheap test that a text can match: does it hold a character and a part that the rule needs? low: text in lower case."""
     tests = [F.length(F.translate(text, rule.needs, "")) < F.length(text)] if rule.needs else []
     if rule.parts:
-        low = F.lower(text)
-        tests.append(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in rule.parts]))
+        tests.append(reduce(lambda a, b: a | b, [F.contains(F.lower(text) if low is None else low, F.lit(p)) for p in rule.parts]))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """Array of {surface, core} of a rule's matches in order; empty without a match."""
+def matches(text: Column, rule: Rule, may: Column | None = None) -> Column:
+    """Array of {surface, core} of a rule's matches in order; empty without a match. may: a cheap test made before."""
     found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
     if rule.core:
         cores = F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.core))
@@ -37,7 +51,21 @@ def matches(text: Column, rule: Rule) -> Column:
     else:
         pairs = F.transform(found, lambda a: F.struct(F.trim(a).alias("surface"), F.trim(a).alias("core")))
     empty = F.array().cast("array<struct<surface:string,core:string>>")
-    return F.when(may_match(text, rule), pairs).otherwise(empty)
+    return F.when(may_match(text, rule) if may is None else may, pairs).otherwise(empty)
+
+
+def replace_value(text: Column, value: Column, token: Column, edges: tuple[bool, bool], first: bool = False) -> Column:
+    """text with every occurrence of value in any case as token, at edges of words alone where so given.
+
+    first: the first occurrence alone, in its own case.
+    """
+    edge = lambda side, sign: F.when(value.rlike(f"(?U){sign[0]}{WORD_CHAR}{sign[1]}"), F.lit(side)).otherwise("")
+    left = edge(f"(?<!{WORD_CHAR})", ("^", "")) if edges[0] else F.lit("")
+    right = edge(f"(?!{WORD_CHAR})", ("", "$")) if edges[1] else F.lit("")
+    plain = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    if first:
+        return F.regexp_replace(text, F.concat(F.lit("(?s)^(.*?)"), left, plain, right), F.concat(F.lit("$1"), token))
+    return F.regexp_replace(text, F.concat(left, F.lit("(?iu:"), plain, F.lit(")"), right), token)
 
 
 def domain(url: Column) -> Column:
@@ -49,8 +77,8 @@ def is_safe_domain(url: Column) -> Column:
     return domain(url).isin(*SAFE_DOMAINS)
 
 
-def has_public_company(ahead: Column) -> Column:
-    return F.exists(F.array(*[F.lit(c.lower()) for c in PUBLIC_COMPANIES]), lambda c: F.contains(F.lower(ahead), c))
+def has_public_company(ahead: Column, companies: tuple[str, ...] = PUBLIC_COMPANIES) -> Column:
+    return F.exists(F.array(*[F.lit(c.lower()) for c in companies]).cast("array<string>"), lambda c: F.contains(F.lower(ahead), c))
 
 
 def role_is_specific(role: Column) -> Column:
@@ -139,5 +167,18 @@ def verbal_to_numeric(text: Column, currency: str = "$") -> Column:
     return F.when(read["seen"] & scale.isNotNull(), F.concat(sign, number, scale)).otherwise(text)
 
 
+def context_core(value: Column) -> Column:
+    """The number in a value with the words that lead to it ("account no 62847501234"); null where there is none."""
+    core = F.regexp_extract(value, "(?iU)^(?:account|passport|licen[cs]e)[a-z\\s#.:]*?\\b([A-Z]?\\d[\\w -]*)$", 1)
+    return F.when(core != "", core)
+
+
+def highlight(text: Column, entries: Column) -> Column:
+    """HTML of a text in which the values of a token map are marked with their types; all else is escaped."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    marked = lambda e: F.concat(F.lit('<mark class="'), F.lower(e["type"]), F.lit('">'), escape(e["original_value"]), F.lit("</mark>"))
+    return F.aggregate(_longest_first(entries, "token"), escape(apply_token_map(text, entries)), lambda t, e: F.replace(t, e["token"], marked(e)))
+
+
 def tokens_in(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
