@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import COMMON_WORDS, COMPOUND_ORGS, DETERMINERS, FIRST_NAMES, NATIONALITIES, NUMBER, ORG_CONTEXT, ORG_WORDS, RULES, WHITELIST, Rule
-from ..functions.text import dedup_key, has_public_company, is_safe_domain, is_sensitive, matches, role_is_specific
+from ..functions.lexicon import (
+    COMMON_WORDS, DETERMINERS, FIRST_NAMES, GENERIC_ORGS, NATIONALITIES, NOT_NAMES, NOT_ORGS, ORG_CONTEXT, ORG_WORDS, ORGS, WHITELIST,
+)
+from ..functions.rules import NUMBER, RULES, Rule
+from ..functions.text import dedup_key, has_public_company, is_safe_domain, is_sensitive, matches, one_of, quoted, role_is_specific
 
 _CAPITALS = "\\b[A-Z][a-zA-Z'-]{2,}(?:\\s+[A-Z][a-zA-Z'-]{2,})*\\b"
 _NUMBERS = (*NUMBER.split("|"), "hundred", "thousand", "million", "billion")
@@ -37,7 +40,7 @@ def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
     kept = (
         F.when(F.col("m.rule") == "url", ~is_safe_domain(F.col("m.surface")))
         .when(F.col("m.rule") == "role", role_ok)
-        .when(F.col("m.rule") == "investment_firm", (F.length("m.surface") > 3) & ~F.upper("m.surface").isin(*WHITELIST))
+        .when(F.col("m.rule") == "investment_firm", (F.length("m.surface") > 3) & ~one_of(F.upper("m.surface"), WHITELIST))
         .otherwise(F.length("m.surface") >= 2)
     )
     return rows.filter(kept).select(F.col("_key").alias(key), "m.*")
@@ -53,29 +56,38 @@ def numbered(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return once.withColumn("n", n).withColumn("token", F.concat(F.lit("["), "type", F.lit("_"), n.cast("string"), F.lit("]")))
 
 
-def gazetteer(docs: DataFrame, orgs: tuple[str, ...] = COMPOUND_ORGS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def gazetteer(docs: DataFrame, orgs: tuple[str, ...] = ORGS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, org, n: organisations of a list that a text names as whole words, in any case."""
-    pattern = "(?iU)\\b(?:" + "|".join(sorted(map(_quoted, orgs), key=len, reverse=True)) + ")\\b"
+    pattern = "(?iU)\\b(?:" + "|".join(sorted(map(quoted, orgs), key=len, reverse=True)) + ")\\b"
     names = F.create_map(*[F.lit(x) for o in orgs for x in (o.lower(), o)])
     found = docs.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("surface"))
     return found.groupBy(key, F.try_element_at(names, F.lower("surface")).alias("org")).agg(F.count("*").alias("n"))
 
 
-def _quoted(word: str) -> str:
-    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
+def context_words(text: Column) -> Column:
+    """Array of {pos, word}: capitalised words of four letters or more with a company word within three places.
 
+    Out are currencies, words with more digits than half, listed and common words, first names and words that are no
+    organisation. Arrays, not a window over exploded words: nothing is shuffled.
+    """
+    words = F.split(text, "\\s+")
+    low = F.transform(words, F.lower)
+    context = F.array(*[F.lit(c) for c in ORG_CONTEXT])
+    clean = F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.regexp_replace(w, "[.,;:!?]+$", "").alias("word")))
 
-def contextual_orgs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos, word: capitalised words of four letters or more with a company word within three places.
+    def fine(x: Column) -> Column:
+        w, near = x["word"], F.slice(low, F.greatest(x["pos"] - 2, F.lit(1)), F.least(x["pos"], F.lit(3)) + 4)
+        digits = F.length(w) - F.length(F.translate(w, "0123456789", ""))
+        out = one_of(F.upper(w), WHITELIST) | one_of(F.lower(w), (*COMMON_WORDS, *NOT_ORGS)) | one_of(w, FIRST_NAMES) | w.rlike("^[A-Z]{0,3}[$€£]?\\d") | (digits * 2 > F.length(w))
+        return w.rlike("^[A-Z]") & (F.length(w) >= 4) & ~out & F.arrays_overlap(near, context)
 
-    Arrays, not a window over exploded words: nothing is shuffled.
-    """
-    words = F.split(F.coalesce(F.col(text), F.lit("")), "\\s+")
-    found = docs.select(F.col(key), words.alias("w")).select(key, "w", F.posexplode("w").alias("pos", "word"))
-    clean = F.regexp_replace("word", "[.,;:!?]+$", "")
-    near = F.transform(F.slice("w", F.greatest(F.col("pos") - 2, F.lit(1)), F.least(F.col("pos"), F.lit(3)) + 4), F.lower)
-    fine = clean.rlike("^[A-Z]") & (F.length(clean) >= 4) & ~F.upper(clean).isin(*WHITELIST) & ~F.lower(clean).isin(*COMMON_WORDS) & ~clean.isin(*FIRST_NAMES)
-    return found.filter(fine & F.arrays_overlap(near, F.array(*[F.lit(c) for c in ORG_CONTEXT]))).select(key, "pos", clean.alias("word"))
+    any_context = text.rlike("(?i)(?<![a-z])(?:" + "|".join(ORG_CONTEXT) + ")(?![a-z])")
+    return F.when(any_context, F.filter(clean, fine)).otherwise(F.array().cast("array<struct<pos:int,word:string>>"))
+
+
+def contextual_orgs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, word of the context_words() of each text."""
+    return docs.select(key, F.inline(context_words(F.coalesce(F.col(text), F.lit("")))))
 
 
 def valid_name(value: Column, kind: Column) -> Column:
@@ -83,20 +95,23 @@ def valid_name(value: Column, kind: Column) -> Column:
     lower, words = F.lower(value), F.split(value, "\\s+")
     single = ~F.contains(value, F.lit(" "))
     first = F.lower(F.get(words, F.lit(0)))
-    known = F.exists(words, lambda w: w.isin(*FIRST_NAMES))
+    known = F.exists(words, lambda w: one_of(w, FIRST_NAMES))
     rejected = [
         value.rlike("\\w+['’][a-z]"),
         value.rlike("^SPEAKER_?S?\\d+"),
         value.rlike("[\\r\\n]"),
-        ~single & first.isin(*DETERMINERS),
-        ~single & (kind == "PERSON") & first.isin(*COMMON_WORDS),
+        ~single & one_of(first, DETERMINERS),
+        ~single & (kind == "PERSON") & one_of(first, COMMON_WORDS),
         single & (kind == "ORG") & (F.length(value) < 4),
         (kind == "PERSON") & (F.length(value) <= 4) & value.rlike("^[A-Z]+$"),
-        single & lower.isin(*COMMON_WORDS),
+        single & one_of(lower, COMMON_WORDS),
         single & lower.endswith("ing") & (F.length(value) > 4),
-        single & lower.isin(*NATIONALITIES),
-        single & lower.isin(*_NUMBERS),
-        F.upper(value).isin(*WHITELIST),
+        single & one_of(lower, NATIONALITIES),
+        single & one_of(lower, _NUMBERS),
+        (kind == "ORG") & one_of(lower, (*GENERIC_ORGS, *NOT_ORGS)),
+        (kind == "ORG") & single & value.rlike("^[a-z]"),
+        (kind == "PERSON") & one_of(lower, NOT_NAMES),
+        one_of(F.upper(value), WHITELIST),
         (kind == "PERSON") & ~known,
     ]
     return ~reduce(lambda a, b: a | b, rejected)
@@ -106,7 +121,7 @@ def heuristic_names(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key, value, type, n: runs of capitalised words that pass as persons or organisations."""
     runs = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?U)" + _CAPITALS), F.lit(0))
     found = docs.select(key, F.explode(runs).alias("value"))
-    org = F.exists(F.split("value", "\\s+"), lambda w: w.isin(*ORG_WORDS))
+    org = F.exists(F.split("value", "\\s+"), lambda w: one_of(w, ORG_WORDS))
     typed = found.withColumn("type", F.when(org, "ORG").otherwise("PERSON"))
     return typed.filter(valid_name(F.col("value"), F.col("type"))).groupBy(key, "value", "type").agg(F.count("*").alias("n"))
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import COMMON_WORDS, FIRST_NAMES, ORG_SUFFIXES, WHITELIST
+from ..functions.lexicon import COMMON_WORDS, FIRST_NAMES, ORG_SUFFIXES, WHITELIST
+from ..functions.text import one_of
 
 #: Types of the recogniser and ours.
 TYPES = {
@@ -17,20 +18,20 @@ TYPES = {
 }
 
 
-def post_filter(entities: DataFrame, org_confidence: float = 0.7) -> DataFrame:
+def post_filter(entities: DataFrame, org_confidence: float = 0.7, confidence: float = 0.0) -> DataFrame:
     """Entities (doc_id, ord, type, value, confidence) that stand, with our types; persons with a firm's suffix are firms."""
     v, words = F.col("value"), F.split("value", "\\s+")
     single = ~F.contains(v, F.lit(" "))
-    common = F.exists(words, lambda w: F.lower(w).isin(*COMMON_WORDS))
+    common = F.exists(words, lambda w: one_of(F.lower(w), COMMON_WORDS))
     person = F.col("type") == "PERSON"
     bad = (
-        (F.length(v) < 3) | v.startswith("_") | F.contains(v, F.lit("\n")) | F.upper(v).isin(*WHITELIST) | v.rlike("^\\[?[A-Z]+_\\d+\\]?") | (F.col("type") == "MONEY")
-        | (person & v.rlike("['’]")) | (person & single & F.lower(v).isin(*COMMON_WORDS)) | (person & (F.length(v) <= 4) & v.rlike("^[A-Z]+$"))
-        | (person & ~single & common & ~F.exists(words, lambda w: w.isin(*FIRST_NAMES))) | ((F.col("type") == "ORG") & (F.col("confidence") < org_confidence))
+        (F.length(v) < 3) | v.startswith("_") | F.contains(v, F.lit("\n")) | one_of(F.upper(v), WHITELIST) | v.rlike("^\\[?[A-Z]+_\\d+\\]?") | (F.col("type") == "MONEY")
+        | (person & v.rlike("['’]")) | (person & single & one_of(F.lower(v), COMMON_WORDS)) | (person & (F.length(v) <= 4) & v.rlike("^[A-Z]+$"))
+        | (person & ~single & common & ~F.exists(words, lambda w: one_of(w, FIRST_NAMES))) | ((F.col("type") == "ORG") & (F.col("confidence") < org_confidence))
     )
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.col("type"))
-    firm = person & F.exists(words, lambda w: F.lower(w).isin(*ORG_SUFFIXES))
-    return entities.filter(~bad).withColumn("type", F.when(firm, "ORG").otherwise(kind)).filter("type IS NOT NULL")
+    firm = person & F.exists(words, lambda w: one_of(F.lower(w), ORG_SUFFIXES))
+    return entities.filter(~bad & (F.col("confidence") >= confidence)).withColumn("type", F.when(firm, "ORG").otherwise(kind)).filter("type IS NOT NULL")
 
 
 def decode_tags(words: DataFrame, least: float = 0.5) -> DataFrame:
