@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions import text as T
-from ..functions.rules import BY_NAME, COMPOUND_ORGS, FIRST_NAMES, ORG_CONTEXT, PHANTOMS, SAFE_DOMAINS
+from ..functions.lexicon import FIRST_NAMES, ORG_CONTEXT, ORGS, PHANTOMS, SAFE_DOMAINS
+from ..functions.rules import BY_NAME
 from ..operators import mentions as M
 from ..operators import metrics, ner
 from ..operators import sessions as S
 from ..operators.redact import redact, redact_rules
 from ..sources.tables import spread
 from ..streaming.sessions import windowed_counts
+from . import fold_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +59,7 @@ SENTENCES = {
     "situation": ["a pending acquisition {k}", "whistleblower and data breach", "none {k}"],
     "temporal": ["ahead of the earnings call {k}", "embargoed until noon", "none {k}"],
     "descriptor": ["the only engineer who {k}", "the patient with the rare condition", "none {k}"],
-    "spoken_email": ["reach kai at hello veil dot com {k}", "write to info at shop dot io", "none {k}"],
+    "spoken_email": ["reach kai at blue lake dot com {k}", "write to info at shop dot io", "none {k}"],
     "hybrid_email": ["reach kai at hello.com {k}", "sam at example.org", "none {k}"],
 }
 
@@ -95,26 +97,15 @@ def _detect(spark: SparkSession, sf_dir: str, rule: str, source: str | None = No
 
 #: Rules that documents match too: their sentences keep detect_NAME, the whole table is detect_NAME_documents.
 _PHONES = ("phone_us", "phone_sa", "phone_local")
-#: The SQL over documents and conversations covers ASCII texts alone, where RE2 and Java agree; the queries read all.
-_ASCII = r"regexp_full_match(text, '[\x00-\x7F]*', 's')"
-
-
-def _quote(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
 
 
 def _detect_sql(rule: str, source: str | None = None) -> str:
-    pattern = BY_NAME[rule].re2
-    texts = f"SELECT doc_id, text FROM {source} WHERE {_ASCII}" if source else _sentences_sql(rule)
-    keep = ""
-    if "(?!" in pattern:  # RE2 has no lookahead: the sentences hold none of the words it rules out
-        start, end = pattern.index("(?!"), pattern.index(r"\s+at\b)") + len(r"\s+at\b)")
-        pattern = (pattern[:start] + pattern[end:]).replace("(?!@)", "")
+    texts = f"SELECT doc_id, text FROM {source}" if source else _sentences_sql(rule)
     return f"""
 SELECT doc_id, ord - 1 AS ord, trim(surface) AS surface FROM (
   SELECT doc_id, unnest(m) AS surface, unnest(generate_series(1, len(m))) AS ord
-  FROM (SELECT doc_id, regexp_extract_all(text, {_quote(pattern)}) AS m FROM ({texts})) WHERE len(m) > 0
-){keep}"""
+  FROM (SELECT doc_id, {Q.found(BY_NAME[rule], "text")} AS m FROM ({texts})) WHERE len(m) > 0
+)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -136,8 +127,9 @@ for _name in ("email", "ipv4", "url"):
 
 for _name in _PHONES:
     QUERIES[f"detect_{_name}_documents"] = partial(_detect, rule=_name, source="documents")
+    ORACLE[f"detect_{_name}_documents"] = _detect_sql(_name, "documents")
 
-_DOCS = f"(SELECT doc_id, text FROM documents WHERE {_ASCII})"
+_DOCS = "(SELECT doc_id, text FROM documents)"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +160,7 @@ SENTENCES["mixed"] = ["mail a{k}@b.co and call 082-123-{k} then a{k}@b.co again"
 @query(
     "gazetteer_org",
     f"""
-WITH o AS (SELECT unnest({list(COMPOUND_ORGS)}) AS org), t AS ({_sentences_sql("orgs")})
+WITH o AS (SELECT unnest({list(ORGS)}) AS org), t AS ({_sentences_sql("orgs")})
 SELECT doc_id, org, CAST(len(regexp_extract_all(text, '(?i)\\b' || org || '\\b')) AS BIGINT) AS n FROM t, o WHERE regexp_matches(text, '(?i)\\b' || org || '\\b')""",
 )
 def gazetteer_org(spark, sf_dir):
@@ -207,7 +199,7 @@ def _mentions_sql(texts: str) -> str:
         r = BY_NAME[n]
         parts.append(
             f"SELECT doc_id, {i} AS rule_seq, '{n}' AS rule, '{r.kind}' AS type, unnest(generate_series(0, len(m) - 1)) AS ord, trim(unnest(m)) AS surface "
-            f"FROM (SELECT doc_id, regexp_extract_all(text, {_quote(r.re2)}) AS m FROM t) WHERE len(m) > 0"
+            f"FROM (SELECT doc_id, {Q.found(r, 'text')} AS m FROM t) WHERE len(m) > 0"
         )
     return f"WITH t AS ({texts}), m AS ({' UNION ALL '.join(parts)})"
 
@@ -257,41 +249,49 @@ def type_share(spark, sf_dir):
 
 
 _MAIL = BY_NAME["email"]
-_FOLDED = f"""
-WITH t AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, {_quote(_MAIL.re2)})) AS d, regexp_extract_all(text, {_quote(_MAIL.re2)}) AS a FROM {_DOCS}),
-s AS (SELECT doc_id, text, list_sort(list_transform(d, lambda x: {{'p': list_position(a, x), 'v': x}})) AS m FROM t WHERE len(d) > 0)
-"""
 
 
-def _email_docs(spark, sf_dir, occurrence):
-    docs = _docs(spark, sf_dir).filter("contains(text, '@')")
-    return redact_rules(docs, (_MAIL,), occurrence).filter("n_tokens > 0")
+class _Only(RedactConfig):
+    """A configuration with the e-mail rule alone."""
+
+    @property
+    def rules(self):
+        return (_MAIL,)
 
 
-_ALL = _FOLDED + "SELECT doc_id, CAST(len(m) AS BIGINT) AS n_tokens, list_reduce([text] || list_transform(m, lambda x, i: x.v || chr(1) || '[EMAIL_' || i || ']'), lambda acc, x: replace(acc, string_split(x, chr(1))[1], string_split(x, chr(1))[2])) AS sanitized FROM s"
+def _mail_config(occurrence: str) -> RedactConfig:
+    return _Only(gazetteer=False, names=False, occurrence=occurrence)
+
+
+def _sanitize_sql(occurrence: str) -> str:
+    return f"SELECT * FROM ({Q.redact_sql('SELECT doc_id AS id, text AS txt FROM documents', _mail_config(occurrence))}) WHERE n_tokens > 0"
+
+
+def _email_docs(spark, sf_dir, occurrence):
+    return redact(_docs(spark, sf_dir), _mail_config(occurrence)).filter("n_tokens > 0")
 
 
-@query("sanitize_all", _ALL)
+@query("sanitize_all", _sanitize_sql("all"))
 def sanitize_all(spark, sf_dir):
     return _email_docs(spark, sf_dir, "all").select("doc_id", "n_tokens", "sanitized")
 
 
-@query("sanitize_first", None)
+@query("sanitize_first", _sanitize_sql("first"))
 def sanitize_first(spark, sf_dir):
     return _email_docs(spark, sf_dir, "first").select("doc_id", "n_tokens", "sanitized")
 
 
-@query("redact_documents", None)
+@query("redact_documents", Q.redact_sql("SELECT doc_id AS id, text AS txt FROM documents", RedactConfig()))
 def redact_documents(spark, sf_dir):
     return redact(spread(_read(spark, sf_dir, "documents"))).select("doc_id", "sanitized", "n_tokens")
 
 
-@query("redact_pages", None)
+@query("redact_pages", Q.redact_sql("SELECT page_id AS id, html AS txt FROM pages", RedactConfig(names=False), "id AS page_id, sanitized, n_tokens"))
 def redact_pages(spark, sf_dir):
     return redact(spread(_read(spark, sf_dir, "pages")), RedactConfig(names=False), "page_id", "html").select("page_id", "sanitized", "n_tokens")
 
 
-@query("phantom_mode", None)
+@query("phantom_mode", Q.redact_sql(f"SELECT doc_id AS id, text AS txt FROM ({_sentences_sql('mixed')})", RedactConfig(mode="phantom"), "id AS doc_id, sanitized"))
 def phantom_mode(spark, sf_dir):
     return redact(_sentences(spark, sf_dir, "mixed"), RedactConfig(mode="phantom")).select("doc_id", "sanitized")
 
@@ -359,11 +359,11 @@ def _turns(spark, sf_dir):
 
 _SESSION_RULES = (BY_NAME["email"], BY_NAME["ipv4"])
 _SESSION = f"""
-WITH t AS (SELECT conv_id, turn, role, {_TURN.replace("{S}", "varchar")} AS text FROM conversations WHERE {_ASCII}),
+WITH t AS (SELECT conv_id, turn, role, {_TURN.replace("{S}", "varchar")} AS text FROM conversations),
 m AS (
-  SELECT conv_id, turn, 0 AS r, 'EMAIL' AS type, unnest(x) AS v, unnest(generate_series(1, len(x))) AS ord FROM (SELECT *, regexp_extract_all(text, {_quote(BY_NAME["email"].re2)}) AS x FROM t) WHERE len(x) > 0
+  SELECT conv_id, turn, 0 AS r, 'EMAIL' AS type, unnest(x) AS v, unnest(generate_series(1, len(x))) AS ord FROM (SELECT *, {Q.found(BY_NAME["email"], "text")} AS x FROM t) WHERE len(x) > 0
   UNION ALL
-  SELECT conv_id, turn, 1, 'IPADDR', unnest(x), unnest(generate_series(1, len(x))) FROM (SELECT *, regexp_extract_all(text, {_quote(BY_NAME["ipv4"].re2)}) AS x FROM t) WHERE len(x) > 0
+  SELECT conv_id, turn, 1, 'IPADDR', unnest(x), unnest(generate_series(1, len(x))) FROM (SELECT *, {Q.found(BY_NAME["ipv4"], "text")} AS x FROM t) WHERE len(x) > 0
 ), f AS (SELECT conv_id, v, min({{'turn': turn, 'r': r, 'ord': ord, 'type': type}}) AS p FROM m GROUP BY ALL),
 n AS (SELECT conv_id, p.type AS type, v AS original_value, row_number() OVER (PARTITION BY conv_id, p.type ORDER BY p.turn, p.r, p.ord, v) AS n FROM f)
 """
