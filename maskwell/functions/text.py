@@ -113,8 +113,9 @@ def reverse_phantom(text: Column, entries: Column) -> Column:
 
 
 def apply_token_map(text: Column, entries: Column) -> Column:
-    """Known values of another text to their tokens, longest first."""
-    return _fold(text, entries, "original_value", "token")
+    """Known values of another text, as whole words in any case, to their tokens, longest first."""
+    known = F.filter(entries, lambda e: F.length(e["original_value"]) > 0)
+    return F.aggregate(_longest_first(known, "original_value"), text, lambda t, e: replace_value(t, e["original_value"], e["token"], (True, True)))
 
 
 def phantom_pools() -> Column:

@@ -47,3 +47,25 @@ def breakdown(facts: DataFrame, by: str = "vertical") -> DataFrame:
         F.sum("leaked").alias("leaked"), F.avg(F.nullif("latency", F.lit(0.0))).alias("latency"),
     )
     return out.withColumn("delta", F.col("masked_accuracy") - F.col("raw_accuracy")).withColumn("leak_rate", F.col("leaked") / F.greatest("detected", F.lit(1)))
+
+
+def totals(facts: DataFrame, dollars_per_token: float = 2e-6) -> DataFrame:
+    """mode, errors, tokens and their cost. facts: mode, error (null if none), input_tokens, output_tokens."""
+    tokens = F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))
+    return facts.groupBy("mode").agg(F.count("error").alias("errors"), tokens.alias("tokens"), (tokens * dollars_per_token).alias("cost"))
+
+
+def tool_differences(expected: Column, called: Column) -> Column:
+    """Struct of the tools that were expected but not called, and the other way round, each once and in order."""
+    return F.struct(F.array_sort(F.array_except(expected, called)).alias("missing"), F.array_sort(F.array_except(called, expected)).alias("extra"))
+
+
+def latency_overhead(raw: Column, masked: Column) -> Column:
+    """Percent that masked takes longer than raw; null where raw is zero or unknown."""
+    return (masked - raw) * 100.0 / F.nullif(raw, F.lit(0.0))
+
+
+def ranked_types(found: DataFrame) -> DataFrame:
+    """type, n, rank: types by number of mentions, the most frequent first; the window runs over one row a type."""
+    counts = found.groupBy("type").agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "type")))

@@ -59,6 +59,41 @@ def chunks(words: Column, size: int = 126, overlap: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * stride + 1, F.lit(size)))
 
 
+def segments(text: Column, words: int = 70) -> Column:
+    """Sentences of a text joined to segments: one ends where the next sentence would bring it over so many words."""
+    sentences = F.filter(F.split(text, "(?<=[.!?])\\s+"), lambda x: F.trim(x) != "")
+    size = lambda x: F.size(F.filter(F.split(x, "\\s+"), lambda w: w != ""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def add(at: Column, x: Column) -> Column:
+        full = (at["n"] > 0) & (at["n"] + size(x) > words)
+        done = F.when(full, F.array_append(at["done"], at["open"])).otherwise(at["done"])
+        joined = F.when(full | (at["n"] == 0), x).otherwise(F.concat(at["open"], F.lit(" "), x))
+        return F.struct(done.alias("done"), joined.alias("open"), (F.when(full, 0).otherwise(at["n"]) + size(x)).alias("n"))
+
+    return F.aggregate(sentences, start, add, lambda at: F.when(at["n"] > 0, F.array_append(at["done"], at["open"])).otherwise(at["done"]))
+
+
+def choose_pass(with_sounds: Column, without: Column, least: float = 0.75) -> Column:
+    """Entities of the pass without sounds if they are more and on average surer than `least`, else of the other one."""
+    mean = F.aggregate(without, F.lit(0.0), lambda s, e: s + e["confidence"]) / F.nullif(F.size(without), F.lit(0))
+    return F.when((F.size(without) > F.size(with_sounds)) & (mean > least), without).otherwise(with_sounds)
+
+
+def sound_ids(code: Column, vocabulary: str, slots: int = 6) -> Column:
+    """The letters of a sound key as numbers: 0 fills up, 1 is unknown, the vocabulary counts from 2."""
+    letters = F.filter(F.split(code, ""), lambda c: c != "")
+    ids = F.transform(letters, lambda c: F.when(F.instr(F.lit(vocabulary), c) > 0, F.instr(F.lit(vocabulary), c) + 1).otherwise(1))
+    return F.slice(F.concat(ids, F.array_repeat(F.lit(0), slots)), 1, slots)
+
+
+def capital_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, word: the capitalised words of each text, once whatever the case, in the form that comes first."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(?U)\\b[A-Z][a-zA-Z'-]{2,}\\b"), F.lit(0))
+    placed = docs.select(key, F.posexplode(found).alias("pos", "word"))
+    return placed.groupBy(key, F.lower("word").alias("_low")).agg(F.min_by("word", "pos").alias("word")).drop("_low")
+
+
 def softmax(x: Column) -> Column:
     e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))

@@ -5,13 +5,15 @@ Steps are SQL expressions, so a plan of forty of them is built with as many call
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions.lexicon import ORG_WORDS, PHANTOMS, SAFE_DOMAINS, WHITELIST
 from ..functions.rules import BY_NAME, Rule
-from ..functions.text import ENTRY, TOKEN, WORD_CHAR, may_match, phantom_text, quoted
+from ..functions.text import ENTRY, TOKEN, WORD_CHAR, may_match, phantom_text, quoted, rehydrate
 from .mentions import _CAPITALS, context_words, valid_name
 from .ner import post_filter
 
@@ -170,6 +172,9 @@ def redact(docs: DataFrame, config: RedactConfig | None = None, key: str = "doc_
     for rule in rules:
         if rule.layer not in ("L1b", "L1.5") and rule.name != "email":
             df = apply(df, rule)
+    # A filter on the result stays above the fold: pushed down, it would hold a copy of all steps below for each use of
+    # the state, twice as many at each step. Nothing is pushed through what isn't deterministic; filter docs before.
+    df = df.withColumn("_s", F.expr("CASE WHEN monotonically_increasing_id() >= 0 THEN _s END"))
     sanitized = F.col("_s.text")
     if config.mode == "phantom":
         sanitized = phantom_text(sanitized, F.col("_s.entries"))
@@ -189,3 +194,12 @@ def redact_rules(docs: DataFrame, rules: tuple[Rule, ...], occurrence: str = "al
             return rules
 
     return redact(docs, Some(gazetteer=False, names=False, occurrence=occurrence), key, text)
+
+
+def wrap(docs: DataFrame, answer: Callable[[Column], Column], config: RedactConfig | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, masked, answer: answer() sees masked texts alone, and what it gives comes back with real values.
+
+    answer: Column to Column, such as a pandas UDF that calls a model.
+    """
+    done = redact(docs, config, key, text).withColumn("_answer", answer(F.col("sanitized")))
+    return done.select(key, F.col("sanitized").alias("masked"), rehydrate(F.col("_answer"), F.col("token_map")).alias("answer"))

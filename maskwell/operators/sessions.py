@@ -78,3 +78,25 @@ def answer_calls(calls: DataFrame, known_tools: tuple[str, ...]) -> DataFrame:
     """Tool result messages of a dry run: the arguments of known tools, an error for others."""
     error = F.to_json(F.struct(F.concat(F.lit("unknown tool: "), "name").alias("error")))
     return calls.select("conv_id", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"), F.when(F.col("name").isin(*known_tools), parse_args(F.col("args"))).otherwise(error).alias("content"))
+
+
+def rehydrate_session(turns: DataFrame, tokens: DataFrame, clean_orphans: bool = False) -> DataFrame:
+    """conv_id, turn, restored: tokens of turns (conv_id, turn, text) back to the values of their session."""
+    joined = turns.join(session_maps(tokens), "conv_id", "left")
+    known = F.coalesce("token_map", F.array().cast("array<struct<token:string,type:string,original_value:string>>"))
+    return joined.select("conv_id", "turn", rehydrate(F.coalesce("text", F.lit("")), known, clean_orphans).alias("restored"))
+
+
+def replay(turns: DataFrame, rules: tuple[Rule, ...] = RULES, max_turns: int = 10) -> DataFrame:
+    """conv_id, answers, finished, final: a recorded agent loop over masked messages.
+
+    The loop ends with the last answer, or with the one that max_turns allows; that one comes back with real values.
+    """
+    masked = redact_session(turns, rules).filter("role = 'assistant'").select("conv_id", "turn", F.col("sanitized").alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    numbered = masked.withColumn("n", place)
+    last = numbered.filter(F.col("n") <= max_turns).groupBy("conv_id").agg(F.max("n").alias("answers"), F.max_by(F.struct("turn", "text"), "turn").alias("m"))
+    every = numbered.groupBy("conv_id").agg(F.count("*").alias("all"))
+    ends = rehydrate_session(last.select("conv_id", "m.turn", "m.text"), session_tokens(turns, rules))
+    out = last.join(every, "conv_id").join(ends, "conv_id")
+    return out.select("conv_id", F.col("answers").cast("long").alias("answers"), (F.col("all") <= max_turns).alias("finished"), F.col("restored").alias("final"))

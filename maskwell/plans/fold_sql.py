@@ -163,3 +163,21 @@ WITH RECURSIVE st AS (
 )
 SELECT {columns} FROM (SELECT id, {sanitized} AS sanitized, entries, CAST(len(entries) AS BIGINT) AS n_tokens FROM st WHERE step = {len(steps)} AND len(queue) = 0)
 """
+
+
+def apply_sql(text: str, pairs: str) -> str:
+    """text with the values of pairs (a list of {v, t}) as whole words in any case by their tokens, longest first."""
+    placed = f"list_sort(list_transform({pairs}, lambda e, i: {{'l': -length(e.v), 'i': i, 'v': e.v, 't': e.t}}))"
+    v, t = "string_split(x, chr(1))[1]", "string_split(x, chr(1))[2]"
+    left = f"CASE WHEN regexp_matches({v}, '^[{_CHAR}]') THEN '(^|[^{_CHAR}])' ELSE '()' END"
+    right = f"CASE WHEN regexp_matches({v}, '[{_CHAR}]$') THEN '($|[^{_CHAR}])' ELSE '()' END"
+    whole = f"'(?i)' || {left} || regexp_escape({v}) || {right}"
+    once = f"regexp_replace(a, {whole}, '\\1' || {t} || '\\2', 'g')"
+    twice = f"regexp_replace({once}, {whole}, '\\1' || {t} || '\\2', 'g')"
+    return f"list_reduce([{text}] || list_transform({placed}, lambda x: x.v || chr(1) || x.t), lambda a, x: {twice})"
+
+
+def restore_sql(text: str, pairs: str) -> str:
+    """text with tokens of pairs (a list of {v, t}) by their values, the longest token first."""
+    placed = f"list_sort(list_transform({pairs}, lambda e, i: {{'l': -length(e.t), 'i': i, 'v': e.v, 't': e.t}}))"
+    return f"list_reduce([{text}] || list_transform({placed}, lambda x: x.t || chr(1) || x.v), lambda a, x: replace(a, string_split(x, chr(1))[1], string_split(x, chr(1))[2]))"

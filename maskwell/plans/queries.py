@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions import text as T
-from ..functions.lexicon import FIRST_NAMES, ORG_CONTEXT, ORGS, PHANTOMS, SAFE_DOMAINS
+from ..functions.lexicon import FIRST_NAMES, ORGS, PHANTOMS, SAFE_DOMAINS, WHITELIST
 from ..functions.rules import BY_NAME
 from ..operators import mentions as M
 from ..operators import metrics, ner
 from ..operators import sessions as S
-from ..operators.redact import redact, redact_rules
-from ..sources.tables import spread
+from ..operators.redact import redact, redact_rules, wrap
+from ..sources.tables import spread, token_rows
+from ..sql import register
 from ..streaming.sessions import windowed_counts
 from . import fold_sql as Q
 
@@ -167,26 +168,15 @@ def gazetteer_org(spark, sf_dir):
     return M.gazetteer(_sentences(spark, sf_dir, "orgs"))
 
 
-@query(
-    "contextual_org",
-    f"""
-WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM ({_sentences_sql("context")})),
-x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS pos, w FROM t)
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, word FROM x
-WHERE word IN ('Zentriva', 'Plain', 'Words', 'Norvik')
-  AND len(list_intersect(list_transform(w[greatest(pos - 2, 1):pos + 4], lambda v: lower(v)), {list(ORG_CONTEXT)})) > 0""",
-)
+@query("contextual_org", f"SELECT doc_id, CAST(x.pos AS BIGINT) AS pos, x.word AS word FROM (SELECT doc_id, unnest({Q.context_words('text')}) AS x FROM documents UNION ALL SELECT -doc_id, unnest({Q.context_words('text')}) FROM ({_sentences_sql('context')}))")
 def contextual_org(spark, sf_dir):
-    return M.contextual_orgs(_sentences(spark, sf_dir, "context")).withColumn("pos", F.col("pos").cast("long"))
+    both = _docs(spark, sf_dir).unionByName(_sentences(spark, sf_dir, "context").withColumn("doc_id", -F.col("doc_id")))
+    return M.contextual_orgs(both).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(
-    "heuristic_ner",
-    "SELECT doc_id, value, type, CAST(1 AS BIGINT) AS n FROM (SELECT c_custkey AS doc_id, unnest(CASE c_custkey % 3 WHEN 0 THEN [{'value': 'Sarah Chen', 'type': 'PERSON'}, "
-    "{'value': 'Acme Holdings', 'type': 'ORG'}] WHEN 1 THEN [{'value': 'Michael Wong', 'type': 'PERSON'}] ELSE [] END, recursive := true) FROM customer)",
-)
+@query("heuristic_ner", f"SELECT doc_id, x.v AS value, x.k AS type, count(*) AS n FROM (SELECT doc_id, unnest({Q.name_runs('text')}) AS x FROM documents UNION ALL SELECT -doc_id, unnest({Q.name_runs('text')}) FROM ({_sentences_sql('names')})) GROUP BY ALL")
 def heuristic_ner(spark, sf_dir):
-    return M.heuristic_names(_sentences(spark, sf_dir, "names"))
+    return M.heuristic_names(_docs(spark, sf_dir).unionByName(_sentences(spark, sf_dir, "names").withColumn("doc_id", -F.col("doc_id"))))
 
 
 _FEW = ("email", "phone_sa", "ipv4", "usd", "date_numeric")
@@ -299,16 +289,54 @@ def phantom_mode(spark, sf_dir):
 _MIXED_TEXT = f"SELECT doc_id, text FROM ({_sentences_sql('mixed')})"
 
 
-@query("rehydrate", f"SELECT doc_id, text AS restored FROM ({_MIXED_TEXT})")
+_MIXED_IDS = f"SELECT doc_id AS id, text AS txt FROM ({_sentences_sql('mixed')})"
+_PAIRS = "list_transform(entries, lambda e: {'v': e.value, 't': e.token})"
+_COUNTED = r"CAST(len(regexp_extract_all(sanitized, '\[[A-Z]+_\d+\]')) AS BIGINT) AS masked"
+
+
+def _masked(text):
+    return T.tokens_in(text).cast("long").alias("masked")
+
+
+@query("rehydrate", Q.redact_sql(_MIXED_IDS, RedactConfig(), f"id AS doc_id, {_COUNTED}, {Q.restore_sql('sanitized', _PAIRS)} AS restored"))
 def rehydrate(spark, sf_dir):
     done = redact(_sentences(spark, sf_dir, "mixed"))
-    return done.select("doc_id", T.rehydrate(F.col("sanitized"), F.col("token_map")).alias("restored"))
+    return done.select("doc_id", _masked(F.col("sanitized")), T.rehydrate(F.col("sanitized"), F.col("token_map")).alias("restored"))
 
 
-@query("rehydrate_orphans", f"SELECT doc_id, text || ' [redacted]' AS restored FROM ({_MIXED_TEXT})")
+@query("rehydrate_orphans", Q.redact_sql(_MIXED_IDS, RedactConfig(), f"id AS doc_id, {_COUNTED}, {Q.restore_sql('sanitized', _PAIRS)} || ' [redacted]' AS restored"))
 def rehydrate_orphans(spark, sf_dir):
     done = redact(_sentences(spark, sf_dir, "mixed"))
-    return done.select("doc_id", T.rehydrate(F.concat("sanitized", F.lit(" [PERSON_99]")), F.col("token_map")).alias("restored"))
+    return done.select("doc_id", _masked(F.col("sanitized")), T.rehydrate(F.concat("sanitized", F.lit(" [PERSON_99]")), F.col("token_map")).alias("restored"))
+
+
+@query("wrap_answer", Q.redact_sql(_MIXED_IDS, RedactConfig(), f"id AS doc_id, sanitized AS masked, 'Re: ' || {Q.restore_sql('sanitized', _PAIRS)} AS answer"))
+def wrap_answer(spark, sf_dir):
+    return wrap(_sentences(spark, sf_dir, "mixed"), lambda masked: F.concat(F.lit("Re: "), masked))
+
+
+@query("token_rows", Q.redact_sql("SELECT doc_id AS id, text AS txt FROM documents", RedactConfig(), "id AS doc_id, unnest(list_transform(entries, lambda e: {'token': e.token, 'type': e.type, 'original_value': e.value}), recursive := true)"))
+def token_rows_of_documents(spark, sf_dir):
+    done = redact(spread(_read(spark, sf_dir, "documents")))
+    return token_rows(done).select("doc_id", "token", "type", "original_value")
+
+
+_OF_TYPES = ", ".join(f"CAST(len(list_filter(entries, lambda e: e.type = '{t}')) AS BIGINT) AS {t.lower()}" for t in ("PERSON", "ORG", "EMAIL", "IPADDR", "ADDRESS"))
+
+
+@query("redact_stats", Q.redact_sql("SELECT doc_id AS id, text AS txt FROM documents", RedactConfig(), f"id AS doc_id, {_OF_TYPES}, n_tokens AS total"))
+def redact_stats(spark, sf_dir):
+    done = redact(spread(_read(spark, sf_dir, "documents")))
+    return done.select("doc_id", *[F.col(f"stats.{t}").cast("long").alias(t) for t in ("person", "org", "email", "ipaddr", "address", "total")])
+
+
+@query("redact_entities", f"SELECT doc_id, replace(text, 'Xqzt Plomb', '[PERSON_1]') AS sanitized, CAST(contains(text, 'Xqzt Plomb') AS BIGINT) AS n_tokens FROM ({_sentences_sql('names')})")
+def redact_entities(spark, sf_dir):
+    """Entities of a recogniser alone: one stands, one is too unsure, one is no name."""
+    docs = _sentences(spark, sf_dir, "names")
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(t).alias("type"), F.lit(v).alias("value"), F.lit(c).alias("confidence")) for i, (t, v, c) in enumerate((("PERSON", "Xqzt Plomb", 0.9), ("ORG", "Acme Holdings", 0.6), ("PERSON", "SP", 0.9)))]
+    entities = docs.select("doc_id", F.inline(F.array(*rows)))
+    return redact(docs, RedactConfig(regex=False, gazetteer=False, contextual=False, names=False), entities=entities).select("doc_id", "sanitized", "n_tokens")
 
 
 def _one_mail(spark, sf_dir):
@@ -323,10 +351,10 @@ def phantom_text(spark, sf_dir):
     return _one_mail(spark, sf_dir).select("doc_id", T.phantom_text(F.col("sanitized"), F.col("token_map")).alias("phantom"))
 
 
-@query("reverse_phantom", f"SELECT doc_id, text AS restored FROM ({_MIXED_TEXT})")
+@query("reverse_phantom", _SWAP.format(to=f"'{PHANTOMS['EMAIL'][0]}'", name="phantom, c.text AS restored", texts=_MIXED_TEXT))
 def reverse_phantom(spark, sf_dir):
     done = _one_mail(spark, sf_dir).withColumn("p", T.phantom_text(F.col("sanitized"), F.col("token_map")))
-    return done.select("doc_id", T.reverse_phantom(F.col("p"), F.col("token_map")).alias("restored"))
+    return done.select("doc_id", F.col("p").alias("phantom"), T.reverse_phantom(F.col("p"), F.col("token_map")).alias("restored"))
 
 
 @query("apply_token_map", _SWAP.format(to="'[EMAIL_1]'", name="masked", texts=_MIXED_TEXT))
@@ -374,18 +402,52 @@ def session_numbering(spark, sf_dir):
     return S.session_tokens(_turns(spark, sf_dir), _SESSION_RULES).select("conv_id", "type", "original_value", "token")
 
 
-@query("session_redact", None)
+_KNOWN = ", k AS (SELECT conv_id, list({'v': original_value, 't': '[' || type || '_' || n || ']'} ORDER BY type, n) AS m FROM n GROUP BY conv_id)"
+_NO_PAIRS = "CAST([] AS STRUCT(v VARCHAR, t VARCHAR)[])"
+_APPLIED = Q.apply_sql("text", f"coalesce(m, {_NO_PAIRS})")
+
+
+@query("session_redact", _SESSION + _KNOWN + f"SELECT conv_id, turn, role, {_APPLIED} AS sanitized FROM t LEFT JOIN k USING (conv_id)")
 def session_redact(spark, sf_dir):
     return S.redact_session(_turns(spark, sf_dir), _SESSION_RULES)
 
 
-@query("session_reredact", None)
+_TOOL = f"""{_KNOWN}, o AS (
+  SELECT conv_id, turn, {_APPLIED} AS text FROM (SELECT conv_id, turn, text || ' and new@tool.org' AS text, m FROM t LEFT JOIN k USING (conv_id) WHERE role = 'assistant')
+), m2 AS (
+  SELECT conv_id, turn, 0 AS r, 'EMAIL' AS type, unnest(x) AS v, unnest(generate_series(1, len(x))) AS ord FROM (SELECT *, {Q.found(BY_NAME["email"], "text")} AS x FROM o) WHERE len(x) > 0
+  UNION ALL
+  SELECT conv_id, turn, 1, 'IPADDR', unnest(x), unnest(generate_series(1, len(x))) FROM (SELECT *, {Q.found(BY_NAME["ipv4"], "text")} AS x FROM o) WHERE len(x) > 0
+), f2 AS (SELECT conv_id, v, min({{'turn': turn, 'r': r, 'ord': ord, 'type': type}}) AS p FROM m2 GROUP BY ALL),
+n2 AS (
+  SELECT f2.conv_id, v, p.type AS type, row_number() OVER (PARTITION BY f2.conv_id, p.type ORDER BY p.turn, p.r, p.ord, v) + coalesce((SELECT max(n) FROM n WHERE n.conv_id = f2.conv_id AND n.type = f2.p.type), 0) AS n FROM f2
+), k2 AS (SELECT conv_id, list({{'v': v, 't': '[' || type || '_' || n || ']'}} ORDER BY type, n) AS m FROM n2 GROUP BY conv_id)
+SELECT conv_id, turn, {_APPLIED} AS sanitized FROM o LEFT JOIN k2 USING (conv_id)"""
+
+
+@query("session_reredact", _SESSION + _TOOL)
 def session_reredact(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     outputs = turns.filter("role = 'assistant'").withColumn("text", F.concat("text", F.lit(" and new@tool.org")))
     return S.redact_tool_output(outputs, S.session_tokens(turns, _SESSION_RULES), _SESSION_RULES)
 
 
+_TURN_TOKENS = f"CAST(len({Q.found(BY_NAME['email'], 'text')}) + len({Q.found(BY_NAME['ipv4'], 'text')}) AS BIGINT)"
+
+
+@query("session_rehydrate", _SESSION + f"SELECT conv_id, turn, text AS restored, {_TURN_TOKENS} AS masked FROM t")
+def session_rehydrate(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    done = S.redact_session(turns, _SESSION_RULES).select("conv_id", "turn", F.col("sanitized").alias("text"))
+    back = S.rehydrate_session(done, S.session_tokens(turns, _SESSION_RULES))
+    return back.join(done.select("conv_id", "turn", _masked(F.col("text"))), ["conv_id", "turn"])
+
+
+@query("agent_replay", _SESSION + "SELECT conv_id, least(count(*), 2) AS answers, count(*) <= 2 AS finished, max_by(text, turn) FILTER (WHERE p <= 2) AS final FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t WHERE role = 'assistant') GROUP BY conv_id")
+def agent_replay(spark, sf_dir):
+    return S.replay(_turns(spark, sf_dir), _SESSION_RULES, max_turns=2)
+
+
 @query("last_user_message", "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r = 1")
 def last_user_message(spark, sf_dir):
     return S.last_user_message(_read(spark, sf_dir, "conversations"))
@@ -416,12 +478,111 @@ def leak_check(spark, sf_dir):
     return metrics.leaks(originals, args)
 
 
-@query("tool_accuracy", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS accuracy FROM customer")
-def tool_accuracy(spark, sf_dir):
+_TOOLS = """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) ELSE ['send', 'pay'] END AS expected,
+  CASE c_custkey % 3 WHEN 1 THEN ['send', 'look'] ELSE ['pay', 'send'] END AS called FROM customer"""
+
+
+def _tools(spark, sf_dir):
     k = F.col("c_custkey")
     expected = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("send"), F.lit("pay")))
     called = F.when(k % 3 == 1, F.array(F.lit("send"), F.lit("look"))).otherwise(F.array(F.lit("pay"), F.lit("send")))
-    return _read(spark, sf_dir, "customer").select(k.alias("id"), metrics.tool_accuracy(expected, called).alias("accuracy"))
+    return _read(spark, sf_dir, "customer").select(k.alias("id"), expected.alias("expected"), called.alias("called"))
+
+
+@query("tool_accuracy", f"SELECT id, CASE WHEN len(expected) = 0 THEN 1.0 ELSE len(list_intersect(expected, called)) / len(expected) END::DOUBLE AS accuracy FROM ({_TOOLS})")
+def tool_accuracy(spark, sf_dir):
+    return _tools(spark, sf_dir).select("id", metrics.tool_accuracy(F.col("expected"), F.col("called")).alias("accuracy"))
+
+
+@query(
+    "tool_differences",
+    "SELECT id, array_to_string(list_sort(list_filter(expected, lambda x: NOT list_contains(called, x))), ',') AS missing, "
+    f"array_to_string(list_sort(list_filter(called, lambda x: NOT list_contains(expected, x))), ',') AS extra FROM ({_TOOLS})",
+)
+def tool_differences(spark, sf_dir):
+    d = _tools(spark, sf_dir).withColumn("d", metrics.tool_differences(F.col("expected"), F.col("called")))
+    return d.select("id", F.array_join("d.missing", ",").alias("missing"), F.array_join("d.extra", ",").alias("extra"))
+
+
+_RUNS = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'raw' ELSE 'masked' END AS mode, CASE WHEN o_orderkey % 7 = 0 THEN 'timeout' END AS error, o_orderkey % 900 AS input_tokens, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 90 END AS output_tokens FROM orders"
+
+
+@query("run_totals", f"SELECT mode, count(error) AS errors, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens FROM ({_RUNS}) GROUP BY mode")
+def run_totals(spark, sf_dir):
+    _read(spark, sf_dir, "orders").createOrReplaceTempView("maskwell_runs")
+    return metrics.totals(spark.sql(_RUNS.replace("FROM orders", "FROM maskwell_runs"))).select("mode", "errors", "tokens")
+
+
+@query("latency_overhead", "SELECT o_orderkey AS id, (o_custkey % 7 - o_custkey % 5) * 100.0::DOUBLE / nullif(o_custkey % 5, 0) AS overhead FROM orders")
+def latency_overhead(spark, sf_dir):
+    raw, masked = (F.col("o_custkey") % 5).cast("double"), (F.col("o_custkey") % 7).cast("double")
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), metrics.latency_overhead(raw, masked).alias("overhead"))
+
+
+@query("types_ranked", _REAL + " SELECT type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, type) AS BIGINT) AS rank FROM m GROUP BY type")
+def types_ranked(spark, sf_dir):
+    return metrics.ranked_types(_real(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("sql_mentions", _MIXED + " SELECT doc_id, rule, type, surface FROM m")
+def sql_mentions(spark, sf_dir):
+    """The table function of SQL sessions."""
+    register(spark, _RULES)
+    _sentences(spark, sf_dir, "mixed").createOrReplaceTempView("maskwell_mixed")
+    return spark.sql("SELECT d.doc_id, m.rule, m.type, m.surface FROM maskwell_mixed d, LATERAL pii_mentions(d.text) m")
+
+
+@query("context_core", f"SELECT doc_id, surface, regexp_extract(surface, '[0-9]+$') AS core FROM ({_detect_sql('bank_account')})")
+def context_core(spark, sf_dir):
+    found = _detect(spark, sf_dir, "bank_account")
+    return found.select("doc_id", "surface", T.context_core(F.col("surface")).alias("core"))
+
+
+_MARK = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("highlight", f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace({_MARK}, m, '<mark class=\"email\">' || m || '</mark>') ELSE {_MARK} END AS html FROM (SELECT doc_id, '<b>&' || text AS text, 'a' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '@b.co' AS m FROM ({_MIXED_TEXT}))")
+def highlight(spark, sf_dir):
+    docs = _sentences(spark, sf_dir, "mixed").withColumn("text", F.concat(F.lit("<b>&"), "text"))
+    done = redact_rules(docs, (_MAIL,)).join(docs, "doc_id")
+    return done.select("doc_id", T.highlight(F.col("text"), F.col("token_map")).alias("html"))
+
+
+_CAPS = r"\b[A-Z][a-zA-Z''-]{2,}\b"
+
+
+@query(
+    "capital_words",
+    f"SELECT doc_id, min_by(word, ord) AS word FROM (SELECT doc_id, unnest(m) AS word, unnest(generate_series(1, len(m))) AS ord "
+    f"FROM (SELECT doc_id, regexp_extract_all({Q.narrow('text')}, '{_CAPS}') AS m FROM documents)) GROUP BY doc_id, lower(word)",
+)
+def capital_words(spark, sf_dir):
+    return ner.capital_words(_docs(spark, sf_dir))
+
+
+@query("sound_ids", "SELECT n_nationkey AS id, array_to_string((list_transform(string_split(n_name, ''), lambda c: CASE WHEN instr('ANTSKRFLMP', c) > 0 THEN instr('ANTSKRFLMP', c) + 1 ELSE 1 END) || [0, 0, 0, 0, 0, 0])[1:6], ',') AS ids FROM nation")
+def sound_ids(spark, sf_dir):
+    ids = ner.sound_ids(F.col("n_name"), "ANTSKRFLMP")
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+_PASSES = "SELECT c_custkey AS id, list_transform(range(0, c_custkey % 3), lambda i: 0.6) AS a, list_transform(range(0, c_custkey % 5), lambda i: 0.5 + (c_custkey % 4) * 0.125) AS b FROM customer"
+
+
+@query("ner_pass_choice", f"SELECT id, CAST(len(CASE WHEN len(b) > len(a) AND list_avg(b) > 0.75 THEN b ELSE a END) AS BIGINT) AS n, len(b) > len(a) AND list_avg(b) > 0.75 AS without FROM ({_PASSES})")
+def ner_pass_choice(spark, sf_dir):
+    k = F.col("c_custkey")
+    made = lambda n, c: F.expr(f"transform(array_repeat(0, cast({n} as int)), x -> named_struct('confidence', cast({c} as double)))")
+    some = _read(spark, sf_dir, "customer").select(k.alias("id"), made("c_custkey % 3", "0.6").alias("a"), made("c_custkey % 5", "0.5 + (c_custkey % 4) * 0.125").alias("b"))
+    chosen = some.withColumn("c", ner.choose_pass(F.col("a"), F.col("b")))
+    return chosen.select("id", F.size("c").cast("long").alias("n"), ((F.size("c") > F.size("a")) & F.lit(True)).alias("without"))
+
+
+@query("ner_segments", None)
+def ner_segments(spark, sf_dir):
+    """Segments of the documents, of about seventy words."""
+    found = _docs(spark, sf_dir).select("doc_id", F.posexplode(ner.segments(F.coalesce("text", F.lit("")))).alias("segment", "text"))
+    return found.select("doc_id", F.col("segment").cast("long").alias("segment"), F.size(F.split(F.trim("text"), "\\s+")).cast("long").alias("n_words"))
 
 
 @query("args_quality", "SELECT c_custkey AS scenario, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.5 END::DOUBLE AS quality FROM customer")
@@ -509,16 +670,20 @@ def name_sounds(spark, sf_dir):
     return ner.sounds(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("word")))
 
 
-@query("whitelist_antijoin", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+def _listed(spark, words):
+    """A word list as the build side of a join: a fixed number of rows."""
+    return F.broadcast(spark.createDataFrame([(w,) for w in words], "listed string"))
+
+
+@query("whitelist_antijoin", f"SELECT doc_id, word FROM ({ORACLE['capital_words']}) WHERE upper(word) NOT IN {WHITELIST}")
 def whitelist_antijoin(spark, sf_dir):
-    out = _read(spark, sf_dir, "region").filter("r_name LIKE 'A%'")
-    return _read(spark, sf_dir, "nation").join(out, F.col("n_regionkey") == F.col("r_regionkey"), "left_anti").select("n_nationkey", "n_name")
+    return ner.capital_words(_docs(spark, sf_dir)).join(_listed(spark, WHITELIST), F.upper("word") == F.col("listed"), "left_anti")
 
 
-@query("firstname_semijoin", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
+@query("firstname_semijoin", f"SELECT doc_id, word FROM ({ORACLE['capital_words']} UNION ALL SELECT -doc_id, unnest(string_split(text, ' ')) FROM ({_sentences_sql('names')})) WHERE word IN {FIRST_NAMES}")
 def firstname_semijoin(spark, sf_dir):
-    some = _read(spark, sf_dir, "region").filter("r_name LIKE 'A%'")
-    return _read(spark, sf_dir, "nation").join(some, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey", "n_name")
+    made = _sentences(spark, sf_dir, "names").select((-F.col("doc_id")).alias("doc_id"), F.explode(F.split("text", " ")).alias("word"))
+    return ner.capital_words(_docs(spark, sf_dir)).unionByName(made).join(_listed(spark, FIRST_NAMES), F.col("word") == F.col("listed"), "left_semi")
 
 
 @query("fragment_antijoin", _REAL + " SELECT a.doc_id, a.surface FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.doc_id = a.doc_id AND b.surface <> a.surface AND contains(b.surface, a.surface))")
