@@ -33,7 +33,7 @@ ORG_SUFFIXES = _words("inc ltd llc plc gmbh group holdings partners capital insu
 GENERIC_ORGS = ("parent company", "holding company", "central bank", "investment bank", "local university", "working group", "steering group", "target group")
 NOT_ORGS = _words("monday tuesday wednesday thursday friday saturday sunday introduction conclusion chapter section figure appendix internet website question answer customer")
 #: Capitalised words that are nobody's name, in lower case.
-NOT_NAMES = _words("dear regards sincerely hi hey okay sorry madam sir mister professor doctor christmas easter english mathematics physics history grace period mark down will power")
+NOT_NAMES = _words("dear regards sincerely hi hey okay sorry madam sir mister professor doctor christmas easter english mathematics physics history period power")
 DETERMINERS = _words("a an the this that these those my your our their every each no")
 #: Nationalities in lower case: single ones are no names.
 NATIONALITIES = _words("german french italian spanish portuguese dutch belgian polish czech greek turkish kenyan nigerian egyptian chinese japanese indian brazilian american british")

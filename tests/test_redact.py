@@ -72,7 +72,7 @@ def test_entities_of_a_recogniser(spark):
     docs = spark.createDataFrame([(1, "Xolani Dube saw Oak Partners, Dubex and CR-1-2"), (2, "Xolani Dube"), (None, "plain")], "doc_id long, text string")
     rows = [(1, 0, "PERSON", "Dube", 0.9), (1, 1, "ORG", "Oak Partners", 0.6), (1, 2, "CASE", "CR-1-2", 0.9), (1, 3, "PERSON", "Xolani", 0.2)]
     entities = spark.createDataFrame(rows, "doc_id long, ord int, type string, value string, confidence double")
-    got = {r["doc_id"]: r for r in redact(docs, RedactConfig(gazetteer=False), entities=entities).collect()}
+    got = {r["doc_id"]: r for r in redact(docs, RedactConfig(gazetteer=False, names=False), entities=entities).collect()}
     assert got[1]["sanitized"] == "Xolani [PERSON_1] saw Oak Partners, Dubex and [GOVID_1]" and got[2]["sanitized"] == "Xolani Dube"
     assert got[1]["stats"]["person"] == 1 and got[1]["stats"]["total"] == 2 and got[None]["n_tokens"] == 0
 
