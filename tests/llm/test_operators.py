@@ -168,6 +168,15 @@ def test_token_counts_in_chunks(docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_offsets_of_chunks_are_those_of_the_library():
+    counter = token_counts.Counter.of(token_counts.MODEL)
+    for text in ("", " ", "a  b c", "é a éé b", "\u2581 a\u2581b", "日本 😀\u0000 x", "<s> </s>\r\n\tx", "e\u0301 \ufeffa\u200bb"):
+        raw = text.encode()
+        want = [p.begin for p in counter.pieces.encode(text, return_type="proto").pieces]
+        assert counter.boundaries(raw, 0, len(raw)).tolist() == want
+
+
+
 def test_quality_rules(docs, empty):
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, keep=["doc_id"]).collect()}
     for i, (_, t, *_) in enumerate(corpus()):
