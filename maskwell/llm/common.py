@@ -188,10 +188,15 @@ def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small pieces of Arrow batches, so that Python objects exist for few texts at a time."""
+    """Small pieces of Arrow batches, so that Python objects exist for few texts at a time.
+
+    Workers live on between tasks: what Arrow holds of the batches is given back after the last one.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def signed(x: np.ndarray) -> np.ndarray:

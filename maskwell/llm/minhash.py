@@ -325,18 +325,19 @@ def _near_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     left, right, rep, component, _, data, _ = _sides(batches)
     sets = [np.frombuffer(d, np.uint32) for d in data]
     sizes = np.array([len(x) for x in sets])
-    words, place = np.unique(np.concatenate(sets), return_inverse=True)
-    of = np.repeat(np.arange(len(sets)), sizes)
-    shared = np.bincount(place, minlength=len(words)) > 1
+    words = np.concatenate(sets)
+    order = np.argsort(words, kind="stable")
+    words, of = words[order], np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del order
+    starts = np.ones(len(words), np.bool_)
+    starts[1:] = words[1:] != words[:-1]
+    shared = ~(starts & np.append(starts[1:], True))  # words of one member alone add nothing
+    of, place = of[shared], np.cumsum(starts[shared], dtype=np.int32) - 1
+    del words, starts, shared
     rows = np.full((2, len(sets)), -1)
     rows[0, left], rows[1, right] = np.arange(len(left)), np.arange(len(right))
     both = np.zeros((len(left), len(right)), np.float32)
-    number = np.cumsum(shared) - 1
-    keep = shared[place]
-    of, place = of[keep], number[place[keep]]
-    order = np.argsort(place, kind="stable")
-    of, place = of[order], place[order]
-    for lo in range(0, int(shared.sum()), 2048):
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
         some = slice(*np.searchsorted(place, [lo, lo + 2048]))
         held = []
         for row, size in zip(rows, both.shape, strict=True):
