@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm.bpe import bpe_round_trip
-from maskwell.llm.common import checked_broadcast, table
+from maskwell.llm.common import checked_broadcast, small_batches, table
 from maskwell.llm.minhash import IDS, near_classes, tagged
 from maskwell.llm.mixing import mix_sources, word_count
 from maskwell.llm.quality_rules import quality_rules
@@ -22,6 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whatever its id, and long texts whole; repeated rows fare alike. An empty table gives an empty result, and columns
     beyond those of documents are dropped.
     """
+    small_batches(spark)
     return quality_rules(docs, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
@@ -80,6 +81,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids. Repeated rows, which the mix makes, are encoded each. An empty table gives an
     empty result.
     """
+    small_batches(spark)
     return bpe_round_trip(docs, with_ids=True).drop("decoded")
 
 

@@ -19,7 +19,17 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch on its way to and from Python: a task holds a few, in the JVM and in its worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes, as rows of long texts make thousands of rows large; results don't change."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -45,6 +55,7 @@ def own_dir(spark: SparkSession) -> str:
     """The application's folder for tables, under the shared one; removed when the driver ends."""
     path = f"{shared_dir(spark)}/maskwell/{spark.sparkContext.applicationId}"
     if path not in _OWN:
+        small_batches(spark)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         files = at.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(at)
