@@ -13,7 +13,12 @@ from ..functions.lexicon import (
 from ..functions.rules import NUMBER, RULES, Rule
 from ..functions.text import dedup_key, has_public_company, is_safe_domain, is_sensitive, matches, one_of, quoted, role_is_specific
 
-_CAPITALS = "\\b[A-Z][a-zA-Z'-]{2,}(?:\\s+[A-Z][a-zA-Z'-]{2,})*\\b"
+#: A capitalised word as far as its last boundary, and a whole one without any but at its beginning.
+_ENDED = "[A-Z][a-zA-Z'-]{2,}\\b"
+_OPEN = f"(?!{_ENDED})[A-Z][a-zA-Z'-]{{2,}}+\\s++"
+#: Runs of capitalised words that end at a boundary: \b W(?:\s+W)*\b for W = [A-Z][a-zA-Z'-]{2,}. Possessive loops, as a
+#: loop that can give back rounds takes stack for each of them.
+_CAPITALS = f"\\b(?:{_OPEN})*+{_ENDED}(?:[a-zA-Z'-]*+\\s++(?:{_OPEN})*+{_ENDED})*+"
 _NUMBERS = (*NUMBER.split("|"), "hundred", "thousand", "million", "billion")
 
 
