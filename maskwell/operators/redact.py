@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RedactConfig
 from ..functions.lexicon import ORG_WORDS, PHANTOMS, SAFE_DOMAINS, WHITELIST
-from ..functions.rules import BY_NAME, Rule
+from ..functions.rules import BY_NAME, INSIDE, Rule
 from ..functions.text import ENTRY, TOKEN, WORD_CHAR, may_match, phantom_text, quoted, rehydrate
 from .mentions import _CAPITALS, context_words, valid_name
 from .ner import post_filter
@@ -91,7 +91,8 @@ def _found(rule: Rule) -> str:
         pairs = f"zip_with(regexp_extract_all(_s.text, {pattern}, 0), regexp_extract_all(_s.text, {pattern}, {rule.core}), (a, b) -> named_struct('surface', trim(a), 'core', b))"
     else:
         pairs = f"transform(regexp_extract_all(_s.text, {pattern}, 0), a -> named_struct('surface', trim(a), 'core', trim(a)))"
-    return f"CASE WHEN _may.{rule.name} THEN {pairs} ELSE cast(array() AS array<struct<surface:string,core:string>>) END"
+    gate = f" AND _s.text RLIKE {_lit(rule.gate)}" if rule.gate else ""
+    return f"CASE WHEN _may.{rule.name}{gate} THEN {pairs} ELSE cast(array() AS array<struct<surface:string,core:string>>) END"
 
 
 def _plain(values: Column) -> Column:
@@ -120,7 +121,7 @@ def redact(docs: DataFrame, config: RedactConfig | None = None, key: str = "doc_
     # What a rule needs to match is there from the start, or never: redaction only takes away. One pass in lower case.
     df = df.withColumn("_low", F.lower("_text"))
     needs = sorted({r.needs for r in rules if r.needs})
-    has = ", ".join(f"'n{i}', length(translate(_text, {_lit(n)}, '')) < length(_text)" for i, n in enumerate(needs))
+    has = ", ".join(f"'n{i}', _text RLIKE {_lit('[' + n + ']')}" for i, n in enumerate(needs))
     df = df.withColumn("_has", F.expr(f"named_struct('a', true{', ' + has if has else ''})"))
 
     def may(rule: Rule) -> str:
@@ -149,7 +150,7 @@ def redact(docs: DataFrame, config: RedactConfig | None = None, key: str = "doc_
     if entities is not None:
         df = step(df, "_entities", ENTITY_KINDS, "HIGH", "Model", words, fine=listed)
     if config.orgs:
-        pattern = "(?iU)\\b(?:" + "|".join(sorted(map(quoted, config.orgs), key=len, reverse=True)) + ")\\b"
+        pattern = INSIDE + "(?iU)\\b(?:" + "|".join(sorted(map(quoted, config.orgs), key=len, reverse=True)) + ")\\b"
         found = f"transform(regexp_extract_all(_s.text, {_lit(pattern)}, 0), a -> named_struct('surface', a, 'core', a))"
         df = step(df, found, ("ORG",), "MEDIUM", "Gazetteer", words)
     for rule in rules:

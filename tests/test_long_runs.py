@@ -20,6 +20,7 @@ LONG = {
 WORDS = {
     "spoken_email": ["kai at", "kai at blue", "dot com", "dot org", *"at dot com co a bb him x9 é dotcom comx MeK".split()],
     "verbal_amount": "one two six sixteen sixty seventy hundred and point thousand million dollars rand oneX hundredth".split(),
+    "url": "x.com www. www.a.co https:// http:// http://b.io/p?x=1 xhttps:// é com .com co .org/a/b a-b _ / 1 . WWW.X.NET x.y.z.africa".split(),
     "names": "A-- Foo Foo- B'x An' Abc-d X'' Éva Foé lower A'-b --- ABC Sarah Chen Foó Foo_".split(),
 }
 BETWEEN = [" ", " ", " ", "  ", "\n", " ", "-", ", ", ".", ""]
@@ -47,3 +48,21 @@ def test_flat_patterns_match_the_same(spark, name):
     found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
     both = spark.createDataFrame([(t,) for t in texts], "t string").select(found(plain).alias("a"), found(java).alias("b"))
     assert both.filter("size(a) > 0").count() > 20 and both.filter("NOT a <=> b").collect() == []
+
+
+def test_java_forms_and_gates_match_the_same(spark):
+    """All rules over pieces of mentions: boundaries, gates and the shorter search for hosts lose and add nothing."""
+    pieces = (
+        "at dot com x.com www. www.a.co https:// http://b.io/p?x=1 é É 12 123-45-6789 4532 1234 5678 9012 the The only director of CEO fraud probe before announcement one million dollars "
+        "R 5,000 zar kai him a@b.co 10.0.0.1 passport license account number ID acme capital standard bank May 5th 42 Rivonia Road . - / _"
+    ).split()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "", ".", "-", "/", "_"]) for _ in range(rng.randint(1, 16))) for _ in range(20_000)]
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+    none = F.array().cast("array<string>")
+    plain = [found(("(?iU)" if r.ignore_case else "(?U)") + r.pattern) for r in RULES]
+    java = [F.when(F.col("t").rlike(r.gate), found(r.java)).otherwise(none) if r.gate else found(r.java) for r in RULES]
+    differ = [F.count_if(~a.eqNullSafe(b)).alias(r.name) for r, a, b in zip(RULES, plain, java, strict=True)]
+    hits = [F.count_if(F.size(a) > 0).alias(f"{r.name}_hits") for r, a in zip(RULES, plain, strict=True)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").agg(*differ, *hits).first().asDict()
+    assert [r.name for r in RULES if got[r.name]] == [] and got["url_hits"] > 1000 and got["hybrid_email_hits"] > 10
